@@ -75,7 +75,7 @@ def signature(shingles: np.ndarray, k: int = K) -> np.ndarray:
     own, attempt = sig.copy(), 0
     while not filled.all():
         while len(_PROBES) <= attempt:
-            _PROBES.append((_mix(np.arange(k, dtype=np.uint64) * _M1 + np.uint64(len(_PROBES) + 1) * _M3) % np.uint64(k)).astype(np.int64))
+            _PROBES.append((_mix(np.arange(k, dtype=np.uint64) * _M1 + np.uint64((len(_PROBES) + 1) * int(_M3) % (1 << 64))) % np.uint64(k)).astype(np.int64))
         todo = np.flatnonzero(~filled)
         source = _PROBES[attempt][todo]
         good = own[source] != _EMPTY
