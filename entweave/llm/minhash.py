@@ -10,9 +10,10 @@ shares no band with a probability of 1.3e-7 (0.672 ** 40).
    The candidates are confirmed on the full sets, and components are found.
 3. A star can miss links between two members whose centre is like neither.  Buckets that still hold several components
    are therefore looked at again: inside them, pairs of different components whose signatures agree about as much as
-   a link needs (`LEAST_AGREE` of K, six standard deviations below 0.8) become candidates too; buckets with the same
+   a link needs (six standard deviations below 0.8, see least_agreement) become candidates too; buckets with the same
    members are looked at once, large ones in blocks of `BLOCK` members, so no task holds a whole hot bucket.
-4. New links are confirmed on the full sets and the components are joined.
+4. New links are confirmed on the full sets, each family of candidates together, so that a text moves once per block
+   of its family and not once per pair; then the components are joined.
 
 Defined results: null or blank texts have no shingles, are linked with nothing and kept; a null doc_id is linked with
 nothing, its component is null and it is kept; rows that share a doc_id stand for one document with the union of their
@@ -32,8 +33,8 @@ from .components import connected_components
 K = 200
 BANDS, ROWS = 40, 5
 PERCENT = 80
-LEAST_AGREE = 126
 BLOCK = 2048
+TEXT_BLOCK = 256
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _word = xxhash.xxh64_intdigest
 
@@ -115,10 +116,29 @@ def features(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of pairs(a, b), those whose full shingle sets are alike.  A pair's texts meet under the key (a, salt): the centre
-    goes once to each salt, its partners are spread over the salts, so a hot centre is split."""
-    partners = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(64)).alias("g"))
+def least_agreement(n_a, n_b, percent: int, k: int = K):
+    """How many of k signature values must agree: six standard deviations below what the limit makes us expect.
+
+    A set of fewer than k shingles tells no more than its size does.  Sizes too far apart can't be alike at all."""
+    p = percent / 100
+    small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    least = k * (p - 6 * np.sqrt(p * (1 - p) / np.minimum(k, np.maximum(small, 1))))
+    return np.where(100 * small >= percent * large, least, k + 1)
+
+
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    small, large = min(len(a), len(b)), max(len(a), len(b))
+    if 100 * small < percent * large:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (small + large - common)
+
+
+def _confirm_stars(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of pairs(a: centre, b), those whose full shingle sets are alike.  A centre goes once to every 256 of its partners,
+    so a hot centre is split."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("salts"))
+    partners = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("g"))
     sent = partners.select("a", "g", F.col("b").alias("doc_id"), F.lit(1).alias("role")).unionByName(partners.select("a", "g", F.col("a").alias("doc_id"), F.lit(0).alias("role")).distinct())
     rows = sent.join(texts, "doc_id").repartition("a", "g").sortWithinPartitions("a", "g", "role")
 
@@ -130,13 +150,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                 if role == 0:
                     if key != a:
                         key, centre = a, shingle_set(text, words)
-                    continue
-                other = shingle_set(text, words)
-                small, large = min(len(centre), len(other)), max(len(centre), len(other))
-                if 100 * small < percent * large:
-                    continue
-                common = len(np.intersect1d(centre, other, assume_unique=True))
-                if 100 * common >= percent * (small + large - common):
+                elif _alike(centre, shingle_set(text, words), percent):
                     out_a.append(a)
                     out_b.append(doc_id)
             yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
@@ -144,13 +158,43 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return rows.select("a", "g", "doc_id", "role", "text").mapInArrow(run, "a long, b long")
 
 
-def _agreeing(members_a, sig_a, comp_a, members_b, sig_b, comp_b, same: bool):
-    for i in range(len(members_a)):
+def _confirm_families(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The same for pairs in dense families: the texts of a family (or of two blocks of a large one) meet once."""
+    family = written(connected_components(pairs), "families")
+    blocks = family.groupBy("component").agg(F.ceil(F.count("*") / TEXT_BLOCK).alias("blocks"))
+    place = family.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("blk"))
+    p = pairs.join(place.select(F.col("node").alias("a"), "component", F.col("blk").alias("pa")), "a").join(place.select(F.col("node").alias("b"), F.col("blk").alias("pb")), "b")
+    p = p.select("component", F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y"), "a", "b")
+    needed = p.select("component", "x", "y", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(texts, "doc_id")
+    rows = needed.select("component", "x", "y", F.lit(0).alias("role"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text").unionByName(p.select("component", "x", "y", F.lit(1).alias("role"), "a", "b", F.lit(None).cast("string").alias("text")))
+    rows = rows.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "role")
+
+    def run(batches):
+        key, sets = None, {}
+        for batch in batches:
+            out_a, out_b = [], []
+            for c, x, y, role, a, b, text in zip(*(batch.column(n).to_pylist() for n in ("component", "x", "y", "role", "a", "b", "text"))):
+                if key != (c, x, y):
+                    key, sets = (c, x, y), {}
+                if role == 0:
+                    sets[a] = shingle_set(text, words)
+                elif _alike(sets[a], sets[b], percent):
+                    out_a.append(a)
+                    out_b.append(b)
+            yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return rows.select("component", "x", "y", "role", "a", "b", "text").mapInArrow(run, "a long, b long")
+
+
+def _agreeing(a: tuple, b: tuple, same: bool, percent: int):
+    """Pairs of different components among two blocks of (ids, signatures, components, sizes)."""
+    (ids_a, sig_a, comp_a, n_a), (ids_b, sig_b, comp_b, n_b) = a, b
+    for i in range(len(ids_a)):
         lo = i + 1 if same else 0
-        agree = (sig_b[lo:] == sig_a[i]).sum(1, dtype=np.int32)
-        hit = lo + np.flatnonzero((agree >= LEAST_AGREE) & (comp_b[lo:] != comp_a[i]))
-        for j in hit.tolist():
-            yield min(members_a[i], members_b[j]), max(members_a[i], members_b[j])
+        other = lo + np.flatnonzero(comp_b[lo:] != comp_a[i])
+        agree = (sig_b[other] == sig_a[i]).sum(1, dtype=np.int32)
+        for j in other[agree >= least_agreement(n_a[i], n_b[other], percent)].tolist():
+            yield min(ids_a[i], ids_b[j]), max(ids_a[i], ids_b[j])
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -170,18 +214,18 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = PERCENT)
     stars = members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     wanted = members.select("doc_id").distinct()
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").dropDuplicates(["doc_id", "text"]), "candidates")
-    sigs = reps.select("doc_id", "sig")
-    near = stars.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
+    sigs = reps.select("doc_id", "sig", F.col("n_shingles").alias("n"))
+    near = stars.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
 
     def likely(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, K) for c in ("sa", "sb"))
-            keep = pa.array((sa == sb).sum(1) >= LEAST_AGREE)
+            keep = pa.array((sa == sb).sum(1) >= least_agreement(b.column("na").to_numpy(), b.column("nb").to_numpy(), percent))
             yield b.select(["a", "b"]).filter(keep)
 
-    links = written(_confirm(near.select("a", "b", "sa", "sb").mapInArrow(likely, "a long, b long").distinct(), texts, words, percent), "links")
+    links = written(_confirm_stars(near.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(likely, "a long, b long").distinct(), texts, words, percent), "links")
     comps = connected_components(links.unionByName(classes.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     comps = written(comps, "components")
     # 3. buckets that still hold several components
@@ -191,20 +235,20 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = PERCENT)
     own = F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int")
     # each pair of blocks of a bucket meets in one task; a bucket of up to BLOCK members is one block
     tiles = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "component", "sig")
+    tiles = tiles.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "component", "sig", "n")
 
     def cross(key, t):
         x, y = key[1].as_py(), key[2].as_py()
         t = t.sort_by("doc_id")
-        ids, comp, blk = (t.column(c).to_numpy() for c in ("doc_id", "component", "own"))
+        ids, comp, blk, n = (t.column(c).to_numpy() for c in ("doc_id", "component", "own", "n"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, K)
-        a, b = blk == x, blk == y
-        pairs = list(_agreeing(ids[a], sig[a], comp[a], ids[b], sig[b], comp[b], x == y))
+        one, two = ((ids[m], sig[m], comp[m], n[m]) for m in (blk == x, blk == y))
+        pairs = list(_agreeing(one, two, x == y, percent))
         return pa.table({"a": pa.array([p for p, _ in pairs], pa.int64()), "b": pa.array([q for _, q in pairs], pa.int64())})
 
     more = tiles.groupBy("key", "x", "y").applyInArrow(cross, "a long, b long").distinct()
-    more = more.join(stars, ["a", "b"], "left_anti")
-    extra = written(_confirm(more, texts, words, percent), "links")
+    more = written(more.join(stars, ["a", "b"], "left_anti"), "more")
+    extra = written(_confirm_families(more, texts, words, percent), "links")
     # 4. join the components that new links connect
     c = comps.withColumnRenamed("component", "c")
     lifted = extra.join(c.withColumnRenamed("node", "a").withColumnRenamed("c", "ca"), "a", "left").join(c.withColumnRenamed("node", "b").withColumnRenamed("c", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
