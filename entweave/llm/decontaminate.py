@@ -88,7 +88,8 @@ def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, proximit
         hit = hit.withColumn("at", at).withColumn("len", F.size("win")).where(local >= 0)
         second = F.col("second.off")
         hit = hit.where(F.col("second").isNull() | (F.get("near", local + second) == F.col("second.term")))
-        hit = hit.where(F.slice("near", local + 1, F.col("len")) == F.col("win"))
+        # greatest: filters may be evaluated in any order, and slice has no place 0
+        hit = hit.where(F.slice("near", F.greatest(local, F.lit(0)) + 1, F.col("len")) == F.col("win"))
     return hit.select(F.explode("item_ids").alias("item_id"), "doc_id", "at", "len").distinct()
 
 

@@ -41,6 +41,7 @@ def texts():
             words[r.randrange(len(words))] = word(r)
         texts[i] = " ".join(words)
     texts |= {80: None, 81: "", 82: " \n\t ", 83: "one", 84: "one", 85: "ab" * 400, 86: "x" * 150, 87: "x" * 250, 88: "Aé " * 90_000, 89: texts[0]}
+    texts[90] = " ".join(texts[2].split()[5:])  # begins in the middle of another's windows
     return texts
 
 
