@@ -84,8 +84,8 @@ def contexts(spark, sf_dir) -> DataFrame:
 
 @query(CELLS + """, v AS (SELECT table_id, row_id, col_id, trim(value) AS v FROM cells WHERE row_id > 0),
 t AS (SELECT * FROM v WHERE col_id = 0 AND table_id <> 'customer'),
-fs AS (SELECT table_id, v, min(row_id) AS at FROM v WHERE col_id = 0 AND v <> '' GROUP BY 1, 2), top AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY at) AS r FROM fs),
-s AS (SELECT table_id, list(v ORDER BY at) AS l FROM top WHERE r <= 6 GROUP BY 1), o AS (SELECT table_id, row_id, string_agg(v, '|' ORDER BY col_id) AS other FROM v WHERE col_id > 0 AND v <> '' GROUP BY 1, 2)
+fs AS (SELECT table_id, v, min(row_id) AS first_at FROM v WHERE col_id = 0 AND v <> '' GROUP BY 1, 2), top AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY first_at) AS r FROM fs),
+s AS (SELECT table_id, list(v ORDER BY first_at) AS l FROM top WHERE r <= 6 GROUP BY 1), o AS (SELECT table_id, row_id, string_agg(v, '|' ORDER BY col_id) AS other FROM v WHERE col_id > 0 AND v <> '' GROUP BY 1, 2)
 SELECT t.table_id, t.row_id, t.v AS mention, coalesce(other, '') AS other, array_to_string(list_filter(l, lambda x: x <> t.v)[1:5], '|') AS samples FROM t LEFT JOIN o USING (table_id, row_id) JOIN s USING (table_id)""")
 def pp1_w9_cell_contexts(spark, sf_dir):
     c = contexts(spark, sf_dir)
