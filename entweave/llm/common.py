@@ -41,7 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     A lost executor costs nothing that was written.  The table is removed when the driver's interpreter ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/entweave-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -150,20 +150,19 @@ def repeated_starts(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
 
     def mark(batches):
         for b in batches:
-            ids, heads, firsts, ends, twice = [], [], [], [], []
+            ids, heads, spans = [], [], []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 h, f, e, t = segments(text.encode("utf-8", "surrogatepass"), length, gram)
                 ids.append(np.full(len(h), doc_id))
                 heads.append(h)
-                firsts.append(f)
-                ends.append(e)
-                twice.append(t)
+                # place (31 bits), windows (up to TEXT_BLOCK: 21 bits) and the flag in one number
+                spans.append((f << 22) | ((e - f) << 1) | t)
             if ids:
-                yield pa.record_batch([pa.array(np.concatenate(x).astype(t)) for x, t in ((heads, np.int64), (ids, np.int64), (firsts, np.int32), (ends, np.int32), (twice, bool))], names=["h", "doc_id", "lo", "hi", "twice"])
+                yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (heads, ids, spans)], names=["h", "doc_id", "span"])
 
-    marks = source.mapInArrow(mark, "h long, doc_id long, lo int, hi int, twice boolean")
-    counts = marks.groupBy("h").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("c"), F.sum(F.col("hi") - F.col("lo") + (length - 1)).alias("n")).where("c > 1").select("h", "n")
-    wanted = marks.join(counts, "h").select("doc_id", F.struct("h", "lo", "hi", "twice", (F.col("n") > hot).alias("hot")).alias("s"))
+    marks = source.mapInArrow(mark, "h long, doc_id long, span long")
+    counts = marks.groupBy("h").agg(F.sum(F.col("span").bitwiseAND(1) + 1).alias("c"), F.sum(F.shiftright("span", 1).bitwiseAND((1 << 21) - 1) + (length - 1)).alias("n")).where("c > 1").select("h", "n")
+    wanted = marks.join(counts, "h").select("doc_id", F.struct("h", "span", (F.col("n") > hot).alias("hot")).alias("s"))
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list("s").alias("s"))
     placed = source.join(by_doc, "doc_id")
 
@@ -173,9 +172,10 @@ def repeated_starts(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
             for doc_id, text, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "s"))):
                 raw = text.encode("utf-8", "surrogatepass")
                 for s in found:
-                    piece = raw[s["lo"] : s["hi"] + length - 1]
+                    lo, n = s["span"] >> 22, (s["span"] >> 1) & ((1 << 21) - 1)
+                    piece = raw[lo : lo + n + length - 1]
                     if len(piece) >= length:  # else the row is another text of this doc_id
-                        rows.append((s["h"], doc_id, s["lo"], piece, s["hot"], s["twice"]))
+                        rows.append((s["h"], doc_id, lo, piece, s["hot"], bool(s["span"] & 1)))
             cols = list(zip(*rows)) if rows else [[]] * 6
             for at in range(0, max(1, len(rows)), 5000):
                 yield pa.record_batch([pa.array(c[at : at + 5000], t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()))], names=["h", "doc_id", "lo", "piece", "hot", "twice"])
