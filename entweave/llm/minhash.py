@@ -213,7 +213,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = PERCENT)
     members = written(keys.join(once.select("key", "centre", "n"), "key"), "buckets")
     stars = members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     wanted = members.select("doc_id").distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").dropDuplicates(["doc_id", "text"]), "candidates")
+    # merge: what is wanted grows with the documents, so it is never broadcast, whatever its size is now
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text"]), "candidates")
     sigs = reps.select("doc_id", "sig", F.col("n_shingles").alias("n"))
     near = stars.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
 
