@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir) and works on all that the one before kep
 columns of documents.  Between stages the rows are written to the shared folder, so each stage starts from a table.
 
 1. quality classifier: a document that is predicted to be of label 0 goes.
-2. line dedup: later repeated runs of lines are cut from the texts; the documents stay.
+2. line dedup: later repeated runs of lines are cut from the texts; a document of which no line is left, a copy of
+   earlier ones, goes, all others stay.
 3. MinHash near-dedup (five words, similarity 0.8): the smallest doc_id of each group stays.
 4. benchmark decontamination: a document goes in which a window of any benchmark item occurs.
 5. best-fit packing of what is left.
@@ -26,7 +27,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    cut = line_dedup.dedup_lines(docs)
+    return cut.where("n_removed = 0 or n_removed < n_lines").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
