@@ -9,9 +9,12 @@ from ..functions.text import casefold, normalize, tokenize, words_array
 from ..lexicon import TYPING_RULES
 
 
-def rule_scores(text: Column) -> Column:
-    """Array of (score, coarse, fine) of the rules that reach their least score."""
-    lowered, tokens = casefold(text), F.array_distinct(tokenize(text))
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: a lambda's variable is never inlined, a column expression is."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def _ranked(lowered: Column, tokens: Column) -> Column:
     rules = []
     for coarse, fine, least, clues, phrases in TYPING_RULES:
         score = F.size(F.array_intersect(tokens, words_array(clues)))
@@ -21,15 +24,23 @@ def rule_scores(text: Column) -> Column:
     return F.array_sort(F.filter(F.array(*rules), lambda r: r["s"].isNotNull()))
 
 
-def lexical_types(text: Column) -> Column:
-    """struct(coarse array, fine array): the two best rules at the top score; coarse and fine are ordered by themselves."""
-    ranked = rule_scores(text)
-    top = F.slice(F.filter(ranked, lambda r: r["s"] == ranked[0]["s"]), 1, 2)
+def rule_scores(text: Column) -> Column:
+    """Array of (-score, fine, coarse) of the rules that reach their least score, best first."""
+    bound = F.struct(casefold(text).alias("low"), F.array_distinct(tokenize(text)).alias("tokens"))
+    return let(bound, lambda b: _ranked(b["low"], b["tokens"]))
+
+
+def _types(top: Column) -> Column:
     misc = F.array(F.lit("MISC"))
     # equal scores: the coarse types sort by name, two of one coarse type count as one
     coarse = F.array_sort(F.array_distinct(F.transform(top, lambda r: r["coarse"])))
-    fine = F.transform(top, lambda r: r["fine"])
-    return F.struct(F.when(F.size(top) > 0, coarse).otherwise(misc).alias("coarse"), F.when(F.size(top) > 0, fine).otherwise(misc).alias("fine"))
+    return F.struct(F.when(F.size(top) > 0, coarse).otherwise(misc).alias("coarse"), F.when(F.size(top) > 0, F.transform(top, lambda r: r["fine"])).otherwise(misc).alias("fine"))
+
+
+def lexical_types(text: Column) -> Column:
+    """struct(coarse array, fine array): the two best rules at the top score; coarse and fine are ordered by themselves."""
+    best = lambda ranked: F.slice(F.filter(ranked, lambda r: r["s"] == F.get(ranked, F.lit(0))["s"]), 1, 2)
+    return let(rule_scores(text), lambda ranked: let(best(ranked), _types))
 
 
 def typed(entity_id: Column, p31: Column, texts: Column) -> Column:
@@ -38,4 +49,4 @@ def typed(entity_id: Column, p31: Column, texts: Column) -> Column:
     one = lambda a, b: F.struct(F.array(F.lit(a)).alias("coarse"), F.array(F.lit(b)).alias("fine"))
     kind = F.when(entity_id.startswith("P"), one("RELATION", "PROPERTY")).when(F.array_contains(p31, "Q5"), one("PERSON", "HUMAN")).otherwise(words)
     source = F.when(~entity_id.startswith("P") & F.array_contains(p31, "Q5"), "claims_p31_human_v1").otherwise("lexical_v1")
-    return F.struct(kind["coarse"].alias("coarse"), kind["fine"].alias("fine"), source.alias("source"))
+    return let(kind, lambda k: F.struct(k["coarse"].alias("coarse"), k["fine"].alias("fine"), source.alias("source")))
