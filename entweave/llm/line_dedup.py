@@ -7,6 +7,9 @@ are fingerprints of runs of one line.  Fingerprints seen twice are joined by pos
 all runs of `window` lines through it, a run that occurs earlier (smaller doc_id, or earlier in its document) is a
 repeat, and the union of repeats, the maximal repeated run, is deleted from the later document.
 
+With `min_words`, shorter runs count by their size too: one or two consecutive lines that have that many words.  Such a line is a
+fingerprint of its own, and the smaller hash of such a pair is one, so that equal pairs share it.
+
 Defined results: null and empty texts have no lines and stay; blank lines are kept unless the text becomes empty of
 others; a document with a null doc_id is neither compared nor changed; rows that share a doc_id are compared as one
 document (an identical row isn't its own copy) and lose the same line numbers; an empty table gives an empty result;
@@ -26,13 +29,14 @@ from .repeats import later_copies
 
 WINDOW = 3
 LONG_LINE = 200
+MIN_WORDS = 20
 
 
-def line_hashes(text: str | None) -> tuple[list[int], list[bytes], list[bool], list[str]]:
-    """Number, 128-bit hash and length test of every line that isn't blank; all lines."""
+def line_hashes(text: str | None) -> tuple[list[int], list[bytes], list[bool], list[int], list[str]]:
+    """Number, 128-bit hash, length test and word count of every line that isn't blank; all lines."""
     lines = text.split("\n") if text else []
     digest = xxhash.xxh3_128_digest
-    at, keys, long = [], [], []
+    at, keys, long, sizes = [], [], [], []
     for i, line in enumerate(lines):
         words = line.split()
         if words:
@@ -40,7 +44,8 @@ def line_hashes(text: str | None) -> tuple[list[int], list[bytes], list[bool], l
             at.append(i)
             keys.append(digest(s))
             long.append(len(s) >= LONG_LINE)
-    return at, keys, long, lines
+            sizes.append(len(words))
+    return at, keys, long, sizes, lines
 
 
 def selected(keys: list[bytes], window: int) -> list[int]:
@@ -58,22 +63,28 @@ def _pack(keys: list[bytes]) -> tuple[pa.Array, pa.Array]:
     return pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1]))
 
 
-def fingerprints(docs: DataFrame, window: int) -> DataFrame:
-    """k1, k2, doc_id, at, around: the selected lines, with the hashes of the lines up to window - 1 before and after."""
+def fingerprints(docs: DataFrame, window: int, min_words: int | None = None) -> DataFrame:
+    """k1, k2, doc_id, at, around: the selected lines, with the hashes of the lines up to window - 1 before and after,
+    and a byte that tells whether the line itself (1), the pair that ends (2) and that begins (4) with it are runs."""
 
     def run(batches):
         for b in batches:
             ids, at, keys, lo, around = [], [], [], [], []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                lines, hashes, long, _ = line_hashes(text)
+                _, hashes, long, sizes, _ = line_hashes(text)
+                pairs: set[int] = set()
+                if min_words is not None:
+                    long = [x or n >= min_words for x, n in zip(long, sizes)]
+                    pairs = {j for j in range(len(hashes) - 1) if sizes[j] + sizes[j + 1] >= min_words}
                 chosen = set(selected(hashes, window)) | {j for j, x in enumerate(long) if x}
+                chosen |= {j if hashes[j] < hashes[j + 1] else j + 1 for j in pairs}
                 for j in sorted(chosen):
                     first = max(0, j - window + 1)
                     ids.append(doc_id)
                     at.append(j)
                     keys.append(hashes[j])
                     lo.append(first)
-                    around.append(b"".join(hashes[first : j + window]) + (b"\x01" if long[j] else b"\x00"))
+                    around.append(b"".join(hashes[first : j + window]) + bytes([long[j] | (j - 1 in pairs) << 1 | (j in pairs) << 2]))
             k1, k2 = _pack(keys)
             yield pa.record_batch([k1, k2, pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(lo, pa.int32()), pa.array(around, pa.binary())], names=["k1", "k2", "doc_id", "at", "lo", "around"])
 
@@ -82,7 +93,7 @@ def fingerprints(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _extended(found: DataFrame, window: int) -> DataFrame:
-    """Every run of window lines through a repeated fingerprint, and the long line itself: k1, k2, doc_id, at."""
+    """Every run of window lines through a repeated fingerprint, and the line and pairs that are runs by size: k1, k2, doc_id, at."""
 
     def run(batches):
         for b in batches:
@@ -94,20 +105,21 @@ def _extended(found: DataFrame, window: int) -> DataFrame:
                     ids.append(doc_id)
                     at.append((lo + i) * 256 + window)
                     keys.append(digest(around[16 * i : 16 * (i + window)]))
-                if around[-1]:
-                    ids.append(doc_id)
-                    at.append(j * 256 + 1)
-                    keys.append(digest(around[16 * (j - lo) : 16 * (j - lo + 1)]))
+                for bit, first, size in ((1, j, 1), (2, j - 1, 2), (4, j, 2)):
+                    if around[-1] & bit:
+                        ids.append(doc_id)
+                        at.append(first * 256 + size)
+                        keys.append(digest(around[16 * (first - lo) : 16 * (first - lo + size)]))
             k1, k2 = _pack(keys)
             yield pa.record_batch([k1, k2, pa.array(ids, pa.int64()), pa.array(at, pa.int64())], names=["k1", "k2", "doc_id", "at"])
 
     return found.mapInArrow(run, "k1 long, k2 long, doc_id long, at long")
 
 
-def dedup_lines(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
-    """docs with later repeated runs of lines cut from text, plus n_lines and n_removed."""
+def dedup_lines(docs: DataFrame, *, window: int = WINDOW, min_words: int | None = None) -> DataFrame:
+    """docs with later repeated runs of lines cut from text, plus n_lines and n_removed.  min_words needs a window of at least 2."""
     small_batches(docs.sparkSession)
-    marks = fingerprints(docs, window)
+    marks = fingerprints(docs, window, min_words)
     repeated = marks.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
     found = marks.join(repeated, ["k1", "k2"]).select("doc_id", "at", "lo", "around")
     runs = written(_extended(found, window), "runs")
@@ -122,7 +134,7 @@ def dedup_lines(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
         for b in batches:
             texts, total, removed = [], [], []
             for text, cut in zip(b.column("text").to_pylist(), b.column("_cut").to_pylist()):
-                at, _, _, lines = line_hashes(text)
+                at, _, _, _, lines = line_hashes(text)
                 gone = {at[j] for c in cut or () for j in range(c // 256, c // 256 + c % 256) if j < len(at)}
                 if gone:
                     kept = [x for i, x in enumerate(lines) if i not in gone]

@@ -192,6 +192,29 @@ def test_line_dedup(docs, texts):
         assert (got[i].n_lines, got[i].n_removed, got[i].kept_sha256) == (len(full), len(gone), sha(text.encode())), i
 
 
+def test_line_dedup_by_size(spark, docs, texts):
+    """With min_words, repeated runs of one or two lines go once they have that many words."""
+    line = lambda n, tag: " ".join(f"{tag}{k}" for k in range(n))
+    a, b, c = line(12, "a"), line(9, "b"), line(25, "c")
+    short = {1: f"{a}\n{b}\n{c}", 2: f"{a}\n\n{b}", 3: f"own line\n{a}\n {b}", 4: c, 5: f"{c}\nother", 6: a, 7: b, 8: f"{b}\n{a}", 9: f"{line(10, 'd')}\n{line(9, 'e')}", 10: f"{line(10, 'd')}\n{line(9, 'e')}"}
+    rows = spark.createDataFrame(list(short.items()), "doc_id long, text string")
+    left = {x.doc_id: x.text for x in line_dedup.dedup_lines(rows, min_words=line_dedup.MIN_WORDS).collect()}
+    assert left == {**short, 2: "", 3: "own line", 4: "", 5: "other"}
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(docs, min_words=6).collect()}
+    seen = {}
+    for i in sorted(texts):
+        full = [x.split() for x in (texts[i] or "").split("\n") if x.split()]
+        gone = set()
+        for n in (1, 2, line_dedup.WINDOW):
+            for at in range(len(full) - n + 1):
+                run = full[at : at + n]
+                if n == line_dedup.WINDOW or sum(map(len, run)) >= 6 or n == 1 and len(" ".join(run[0])) >= line_dedup.LONG_LINE:
+                    key = str(run)
+                    if seen.setdefault(key, (i, at)) != (i, at):
+                        gone |= set(range(at, at + n))
+        assert (got[i].n_lines, got[i].n_removed) == (len(full), len(gone)), i
+
+
 def test_winnowing_guarantee():
     r = random.Random(4)
     for _ in range(200):
