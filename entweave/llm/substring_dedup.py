@@ -1,10 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into sentences (after . ! ? or an ellipsis followed by white space, and at line ends; a "sentence" without such an end for
-more than ``MAX_WORDS`` words is cut there, so tables and lists are covered too).  Every run of `span` consecutive
-sentences, lengthened until it has `min_words` words, is hashed to 128 bits and joined globally; all but the first
-occurrence of a run, by (doc_id, place), are repeats, and every sentence that a repeat covers is removed.  A single
-sentence of at least `min_words` words is a run of its own.
+Texts are cut into sentences (after . ! ? or an ellipsis followed by white space, after full-width stops, and at line ends; a
+"sentence" without such an end for more than ``MAX_WORDS`` words is cut there, so tables and lists are covered too).  From
+every sentence on, and up to every sentence, the shortest run of consecutive sentences that has `min_words` words, be
+it one sentence or many, is hashed to 128 bits and joined globally; all but the first occurrence of a run, by (doc_id,
+place), are repeats, and every sentence that a repeat covers is removed.  Any repeated run of `min_words` words goes whole: each of
+its sentences begins or ends, or lies inside, a shortest run that the repeat contains.
+
+Words are separated by white space; in scripts written without spaces (Han, kana, Thai, Lao, Khmer, Burmese) two
+characters count as a word.
 
 Sentences are compared with white space collapsed.  What remains keeps its own white space.
 
@@ -27,11 +31,16 @@ from pyspark.sql import types as T
 from .common import small_batches, widened
 from .repeats import later_copies
 
-SPAN = 3
 MIN_WORDS = 20
 MAX_WORDS = 40
-_END = re.compile(r"[.!?…]+\s+|\n\s*")
-_WORD = re.compile(r"\S+\s*")
+_BARE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_END = re.compile(r"[.!?…]+\s+|[。！？｡．]+[」』”’）]*\s*|\n\s*")
+_UNSPACED = re.compile(f"[{_BARE}]")
+_WORD = re.compile(rf"(?:[{_BARE}]{{1,2}}|[^\s{_BARE}]+)\s*")
+
+
+def n_words(s: str) -> int:
+    return len(s.split()) if s.isascii() or not _UNSPACED.search(s) else len(_WORD.findall(s))
 
 
 def sentences(text: str | None, max_words: int = MAX_WORDS) -> list[str]:
@@ -43,7 +52,7 @@ def sentences(text: str | None, max_words: int = MAX_WORDS) -> list[str]:
     out, at = [], 0
     for end in ends:
         s, at = text[at:end], end
-        if s.count(" ") >= max_words:
+        if s.count(" ") >= max_words or len(s) > max_words and not s.isascii() and _UNSPACED.search(s):
             words = _WORD.findall(s)
             if len(words) > max_words:
                 lead = s[: len(s) - sum(map(len, words))]
@@ -54,18 +63,17 @@ def sentences(text: str | None, max_words: int = MAX_WORDS) -> list[str]:
     return out
 
 
-def runs(parts: list[str], span: int = SPAN, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
+def runs(parts: list[str], min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
     """(first sentence, number of sentences, 128-bit hash) of every run; sentences are numbered without blank ones."""
-    split = [w for w in (p.split() for p in parts) if w]
-    joined = [" ".join(w) for w in split]
+    joined = [" ".join(w) for w in (p.split() for p in parts) if w]
     before = [0]
-    for w in split:
-        before.append(before[-1] + len(w))
-    found = {(i, 1) for i, w in enumerate(split) if len(w) >= min_words}
-    n = len(split)
+    for s in joined:
+        before.append(before[-1] + n_words(s))
+    n = len(joined)
+    found = set()
     end = 0
     for i in range(n):  # the shortest run from each sentence on
-        end = max(end, i + span)
+        end = max(end, i + 1)
         while end <= n and before[end] - before[i] < min_words:
             end += 1
         if end > n:
@@ -73,7 +81,7 @@ def runs(parts: list[str], span: int = SPAN, min_words: int = MIN_WORDS) -> list
         found.add((i, end - i))
     start = n
     for j in range(n, 0, -1):  # and up to each sentence
-        start = min(start, j - span)
+        start = min(start, j - 1)
         while start >= 0 and before[j] - before[start] < min_words:
             start -= 1
         if start < 0:
@@ -83,12 +91,12 @@ def runs(parts: list[str], span: int = SPAN, min_words: int = MIN_WORDS) -> list
     return [(i, k, digest("\n".join(joined[i : i + k]))) for i, k in sorted(found)]
 
 
-def _spans(docs: DataFrame, span: int, min_words: int) -> DataFrame:
+def _spans(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches):
         for b in batches:
             ids, at, keys = [], [], []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                found = runs(sentences(text), span, min_words)
+                found = runs(sentences(text), min_words)
                 ids += [doc_id] * len(found)
                 at += [i * 256 + n for i, n, _ in found]
                 keys += [k for _, _, k in found]
@@ -99,10 +107,10 @@ def _spans(docs: DataFrame, span: int, min_words: int) -> DataFrame:
     return source.mapInArrow(run, "k1 long, k2 long, doc_id long, at long")
 
 
-def dedup_substrings(docs: DataFrame, *, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the repeated sentences cut from text, plus n_sentences and n_removed."""
     small_batches(docs.sparkSession)
-    spans = _spans(docs, span, min_words)
+    spans = _spans(docs, min_words)
     repeats = later_copies(spans).groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("_cut"))
     base = docs.drop("n_sentences", "n_removed", "_cut")
     joined = base.join(repeats.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")

@@ -174,6 +174,28 @@ def test_substring_dedup(docs, texts):
     assert got[89].n_removed == got[89].n_sentences  # a copy goes whole
 
 
+def test_substring_dedup_short_runs_and_unspaced(spark):
+    """Pairs of sentences, a long sentence's rest and texts without spaces go once they have 20 words."""
+    line = lambda n, tag: " ".join(f"{tag}{k}" for k in range(n)) + ". "
+    han = "".join(chr(0x4E00 + 7 * k) for k in range(90))
+    zh = f"{han[:30]}。{han[30:60]}！{han[60:]}。"
+    rows = {
+        1: line(16, "a") + line(17, "b") + line(19, "c") + line(7, "d"), 2: "Own one. " + line(16, "a") + line(17, "b") + "Own end.", 3: "Own two. " + line(19, "c") + line(7, "d") + "Own last.",
+        4: line(45, "e"), 5: "Own three. " + line(45, "e") + "Own four.", 6: line(10, "f") + line(9, "g"), 7: "Own five. " + line(10, "f") + line(9, "g"),
+        8: zh, 9: "独自文。" + zh + "又独自文。", 10: han, 11: han, 12: "ไ" * 90, 13: "ไ" * 90,
+    }
+    got = {x.doc_id: x.text for x in substring_dedup.dedup_substrings(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    want = {2: "Own one. Own end.", 3: "Own two. Own last.", 5: "Own three. Own four.", 9: "独自文。又独自文。", 11: "", 13: ""}
+    assert got[12] and not got[13]
+    assert {i: t for i, t in got.items() if i != 12} == {i: want.get(i, t) for i, t in rows.items() if i != 12}
+    r = random.Random(12)
+    for _ in range(300):  # every sentence of a repeated run of 20 words lies in a run inside it
+        parts = [line(r.randint(1, 30), r.choice("xyz")) for _ in range(r.randint(1, 12))]
+        inside = substring_dedup.runs(parts)
+        covered = {k for at, n, _ in inside for k in range(at, at + n)}
+        assert covered == (set(range(len(parts))) if sum(len(p.split()) for p in parts) >= 20 else set())
+
+
 def test_line_dedup(docs, texts):
     got = by_id(line_dedup.op4(docs))
     seen = {}
