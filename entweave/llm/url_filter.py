@@ -9,6 +9,8 @@ The join is an equi-join on (key, time slot): intervals are cut at slot borders,
 captures is spread over the slots of its fetch times, and what adaptive execution finds still skewed it splits.  The
 intervals are joined by shuffle unless Spark itself measures them to be under its broadcast limit.
 
+Hosts are compared in lower case, paths as they are written, in captures and in entries.
+
 Defined results: a null or unparsable URL has no keys and is never blocked, nor is one with a null fetch time; entries
 with a null kind, pattern, date or action take no part; at equal dates a removal wins, repeated entries count once; a removal without
 an addition means nothing; an empty list blocks nothing; an empty table gives an empty result; extra columns are ignored."""
@@ -47,7 +49,9 @@ def intervals(entries: DataFrame) -> DataFrame:
     """entries(kind, pattern, category, action, since) -> key, category, valid_from, valid_to (null: still valid)."""
     letter = F.create_map(*[F.lit(x) for x in ("host", "h:", "domain", "d:", "prefix", "p:")])
     e = entries.where("kind in ('host', 'domain', 'prefix') and pattern is not null and action in ('add', 'remove') and since is not null")
-    e = e.select(F.concat(letter[F.col("kind")], F.lower("pattern")).alias("key"), F.coalesce("category", F.lit("")).alias("category"), "since", "action")
+    host = F.regexp_extract("pattern", r"^[^/]*", 0)
+    pattern = F.when(F.col("kind") == "prefix", F.concat(F.lower(host), F.substring("pattern", F.length(host) + 1, F.length("pattern")))).otherwise(F.lower("pattern"))
+    e = e.select(F.concat(letter[F.col("kind")], pattern).alias("key"), F.coalesce("category", F.lit("")).alias("category"), "since", "action")
     # one state for each key, category and date: a removal wins
     e = e.groupBy("key", "category", "since").agg((F.max("action") == "add").alias("on"))
     order = Window.partitionBy("key", "category").orderBy("since")

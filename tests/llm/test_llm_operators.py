@@ -369,6 +369,14 @@ def test_url_filter(spark):
         assert (got[i].n_active, got[i].blocked, got[i].categories) == (len(active), bool(active), ",".join(sorted({c for *_, c in active}))), (i, u, t)
 
 
+def test_url_prefix_keeps_the_case_of_its_path(spark):
+    day = datetime(2024, 1, 1)
+    urls = ["http://a.com/Foo/x", "http://A.com/foo/x", "http://a.com/Foo", "http://a.com/Foot", "http://B.com/q/Q", "http://c.com/"]
+    log = [("prefix", "A.com/Foo", "s", "add", day), ("prefix", "b.com/q/Q", "s", "add", day), ("host", "C.com", "s", "add", day)]
+    got = url_filter.evaluate(spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, fetched timestamp"), spark.createDataFrame(log, "kind string, pattern string, category string, action string, since timestamp"))
+    assert {x.page_id for x in got.collect() if x.blocked} == {0, 2, 4, 5}
+
+
 def test_language_id(spark, docs, empty):
     r = random.Random(9)
     vocabulary = {"aa": "the of and to in is that", "bb": "der die und das ist nicht ein", "cc": "το και της με για"}
