@@ -134,6 +134,11 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (small + large - common)
 
 
+def _any_alike(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> bool:
+    """Whether any two sets of two documents are alike: rows that share a doc_id bring a set each."""
+    return any(_alike(x, y, percent) for x in a for y in b)
+
+
 def _confirm_stars(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs(a: centre, b), those whose full shingle sets are alike.  A centre goes once to every 256 of its partners,
     so a hot centre is split."""
@@ -143,14 +148,15 @@ def _confirm_stars(pairs: DataFrame, texts: DataFrame, words: int, percent: int)
     rows = sent.join(texts, "doc_id").repartition("a", "g").sortWithinPartitions("a", "g", "role")
 
     def run(batches):
-        key, centre = None, None
+        key, centre = None, []
         for b in batches:
             out_a, out_b = [], []
             for a, g, doc_id, role, text in zip(*(b.column(c).to_pylist() for c in ("a", "g", "doc_id", "role", "text"))):
                 if role == 0:
-                    if key != a:
-                        key, centre = a, shingle_set(text, words)
-                elif _alike(centre, shingle_set(text, words), percent):
+                    if key != (a, g):
+                        key, centre = (a, g), []
+                    centre.append(shingle_set(text, words))
+                elif _any_alike(centre, [shingle_set(text, words)], percent):
                     out_a.append(a)
                     out_b.append(doc_id)
             yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
@@ -177,8 +183,8 @@ def _confirm_families(pairs: DataFrame, texts: DataFrame, words: int, percent: i
                 if key != (c, x, y):
                     key, sets = (c, x, y), {}
                 if role == 0:
-                    sets[a] = shingle_set(text, words)
-                elif _alike(sets[a], sets[b], percent):
+                    sets.setdefault(a, []).append(shingle_set(text, words))
+                elif _any_alike(sets[a], sets[b], percent):
                     out_a.append(a)
                     out_b.append(b)
             yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])

@@ -107,6 +107,18 @@ def test_minhash_finds_links_that_the_star_misses(spark):
     assert {x.component_id for x in got.values()} == {0}
 
 
+def test_minhash_texts_of_one_id(spark):
+    """Rows that share a doc_id have the links of all their texts."""
+    line = lambda tag, last: " ".join([f"{tag}{k}" for k in range(60)] + [last])
+    rows = [(1, line("a", "x")), (1, line("b", "x")), (1, line("c", "x")), (2, line("a", "y")), (3, line("b", "y")), (4, line("c", "y")), (5, line("d", "y"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, i) for i in (2, 3, 4, 5)], "a long, b long")
+    for confirm in (minhash._confirm_stars, minhash._confirm_families):
+        assert {(x.a, x.b) for x in confirm(pairs, docs, 2, 80).collect()} == {(1, 2), (1, 3), (1, 4)}, confirm.__name__
+    got = {(x.doc_id, x.component_id, x.kept) for x in minhash.near_duplicates(docs, words=2).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 5, True)}
+
+
 def test_signature_agreement_is_the_similarity():
     r = np.random.default_rng(1)
     for size in (3, 40, 2000):
