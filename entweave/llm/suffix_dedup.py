@@ -1,14 +1,16 @@
 """Suffix-array dedup: removes each byte covered by a string of `length` bytes that also starts earlier.
 
 A position's longest previous factor (LPF) is the longest string that starts there and also earlier; a byte goes if a
-position with LPF >= length reaches over it.  Suffix arrays are built where equal strings meet:
+position with LPF >= length reaches over it.  LPF values themselves aren't computed, nor are previous and next smaller
+positions: the cut asks only whether LPF >= length, which is whether the window of `length` bytes occurs earlier, so the
+windows are sorted by just these bytes, where equal strings meet:
 
 1. In every window of `length` bytes the k-byte string of the smallest hash, its minimizer, is found.  Equal windows
    have equal minimizers, so windows whose minimizer occurs once in the corpus can't repeat and are done with.
 2. Neighbouring windows with one minimizer form a segment.  Segments whose minimizer occurs again are brought together
    by the minimizer's hash.  Segments of equal bytes are collapsed first: all but the earliest repeat entirely.
-3. Each task sorts the suffixes of its distinct segments (prefix doubling by numpy, as deep as `length` bytes) and looks at
-   the previous and next smaller positions in suffix order: one that shares `length` bytes is an earlier match.
+3. Each task sorts the suffixes of its distinct segments (prefix doubling by numpy, as deep as `length` bytes), equal
+   ones by (doc_id, place), and looks at the neighbour before: one that shares `length` bytes is an earlier match.
 4. Where one minimizer gathers more than `SORT_BYTES`, its windows are ordered by 128-bit hashes instead of by suffix,
    which takes less memory; beyond `HOT_BYTES` they don't meet in one task at all: the earliest of equal windows is
    found by partial aggregation.  Either is the same decision, for any group size.
@@ -88,7 +90,7 @@ def earlier_matches(parts: list[bytes], doc: np.ndarray, start: np.ndarray, leng
 
     The suffixes are ranked by 8, 16, 32, 64 and `length` bytes; in suffix order, with suffixes that agree in `length`
     bytes ordered by position, a window's longest previous factor reaches `length` just if its neighbour before it
-    (the previous smaller position) shares them."""
+    shares them."""
     sizes = np.array([len(p) for p in parts])
     raw = np.frombuffer(b"".join(parts) + bytes(length + 8), np.uint8).astype(np.uint64)
     total = int(sizes.sum())
