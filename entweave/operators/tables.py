@@ -233,7 +233,7 @@ def seed_schema(contexts: DataFrame, roles_: DataFrame) -> DataFrame:
         "fine_hints": F.when(typed, F.array(top["fine_type"])).otherwise(none),
         "variants": F.array_distinct(F.array("canonical", F.trim("mention"), F.replace("canonical", F.lit("."), F.lit("")))),
     })
-    # water names: a typed query for the lake first, and three more terms
+    # water names: a query for the lake first
     lake = F.concat(F.lit("Lake "), F.col("canonical"))
     water = (F.col("role") == "BODY_OF_WATER_NAME") & ~F.lower("canonical").startswith("lake ")
     c = c.withColumn("variants", F.when(water, F.array_distinct(F.concat(F.array(lake), F.col("variants")))).otherwise(F.col("variants")))
