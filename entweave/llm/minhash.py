@@ -9,11 +9,12 @@ shares no band with a probability of 1.3e-7 (0.672 ** 40).
 2. In each bucket every member is linked to the smallest one (a star), which bounds the pairs by the bucket's size.
    The candidates are confirmed on the full sets, and components are found.
 3. A star can miss links between two members whose centre is like neither.  Buckets that still hold several components
-   are therefore looked at again: inside them, pairs of different components whose signatures agree about as much as
-   a link needs (six standard deviations below 0.8, see least_agreement) become candidates too; buckets with the same
-   members are looked at once, large ones in blocks of `BLOCK` members, so no task holds a whole hot bucket.
-4. New links are confirmed on the full sets, each family of candidates together, so that a text moves once per block
-   of its family and not once per pair; then the components are joined.
+   are therefore looked at again: inside them, members of different components whose signatures agree about as much as
+   a link needs (six standard deviations below 0.8, see least_agreement) belong to one family.  What a bucket puts out is a
+   forest of such pairs, never all of them: fewer edges than it has members.  Buckets with the same members are looked
+   at once, large ones in blocks of `BLOCK` members, so no task holds a whole hot bucket.
+4. The texts of each family meet, in blocks, and are compared in full where they meet; what leaves the task is a forest of
+   links between components, again fewer than there are members.  Then the components are joined.
 
 Defined results: null or blank texts have no shingles, are linked with nothing and kept; a null doc_id is linked with
 nothing, its component is null and it is kept; rows that share a doc_id stand for one document with the union of their
@@ -33,8 +34,8 @@ from .components import connected_components
 K = 200
 BANDS, ROWS = 40, 5
 PERCENT = 80
-BLOCK = 2048
-TEXT_BLOCK = 256
+BLOCK = 2048  # signatures of a bucket that meet at once
+TEXT_BLOCK, BLOCK_SHINGLES = 512, 1 << 20  # texts of a family that meet at once
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _word = xxhash.xxh64_intdigest
 
@@ -164,43 +165,97 @@ def _confirm_stars(pairs: DataFrame, texts: DataFrame, words: int, percent: int)
     return rows.select("a", "g", "doc_id", "role", "text").mapInArrow(run, "a long, b long")
 
 
-def _confirm_families(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The same for pairs in dense families: the texts of a family (or of two blocks of a large one) meet once."""
-    family = written(connected_components(pairs), "families")
-    blocks = family.groupBy("component").agg(F.ceil(F.count("*") / TEXT_BLOCK).alias("blocks"))
-    place = family.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("blk"))
-    p = pairs.join(place.select(F.col("node").alias("a"), "component", F.col("blk").alias("pa")), "a").join(place.select(F.col("node").alias("b"), F.col("blk").alias("pb")), "b")
-    p = p.select("component", F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y"), "a", "b")
-    needed = p.select("component", "x", "y", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(texts, "doc_id")
-    rows = needed.select("component", "x", "y", F.lit(0).alias("role"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text").unionByName(p.select("component", "x", "y", F.lit(1).alias("role"), "a", "b", F.lit(None).cast("string").alias("text")))
-    rows = rows.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "role")
+def agreeing_forest(a: tuple, b: tuple, same: bool, percent: int) -> list[tuple[int, int]]:
+    """Of two blocks of (ids, signatures, components, sizes), or of one block with itself: a forest that connects what a
+    chain of agreeing pairs of different components connects.  It has fewer edges than the blocks have members."""
+    (ids_a, sig_a, comp_a, n_a), (ids_b, sig_b, comp_b, n_b) = a, b
+    label_b = np.arange(len(ids_b))
+    label_a = label_b if same else np.arange(len(ids_a)) + len(ids_b)
+    out = []
+    for i in range(len(ids_a)):
+        lo = i + 1 if same else 0
+        other = lo + np.flatnonzero((comp_b[lo:] != comp_a[i]) & (label_b[lo:] != label_a[i]))
+        agree = (sig_b[other] == sig_a[i]).sum(1, dtype=np.int32)
+        found = other[agree >= least_agreement(n_a[i], n_b[other], percent)]
+        labels, first = np.unique(label_b[found], return_index=True)
+        out += [(min(ids_a[i], ids_b[j]), max(ids_a[i], ids_b[j])) for j in found[first].tolist()]
+        for label in (label_b,) if same else (label_a, label_b):
+            label[np.isin(label, labels)] = label_a[i]
+    return out
+
+
+def linking_forest(ids: list[int], comps: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Alike pairs of sets that connect all components which alike pairs of these sets connect, compared in full.
+
+    The sets are held as what they differ by from the shingles that most of them have, so pages of one template are
+    compared by their own parts; |x & y| = (|x| + |y| - |x ^ y|) / 2."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), size)
+    distinct, token = np.unique(np.concatenate(sets), return_inverse=True)
+    common = np.bincount(token) * 2 > n
+    # the differences: own shingles that aren't common, and common ones that a set lacks
+    rare = ~common[token]
+    which = np.flatnonzero(common)
+    holds = np.zeros((n, len(which)), bool)
+    holds[owner[~rare], np.searchsorted(which, token[~rare])] = True
+    lacks = np.nonzero(~holds)
+    owner, token = np.concatenate((owner[rare], lacks[0])), np.concatenate((token[rare], which[lacks[1]]))
+    differ = np.bincount(owner, minlength=n)
+    shared = np.bincount(token, minlength=len(distinct))[token] > 1
+    owner, token = owner[shared], token[shared]
+    order = np.argsort(token, kind="stable")
+    posting = owner[order]
+    begin = np.searchsorted(token[order], np.arange(len(distinct) + 1))
+    order = np.argsort(owner, kind="stable")
+    mine, start = token[order], np.searchsorted(owner[order], np.arange(n + 1))
+    label = np.unique(np.array(comps, np.int64), return_inverse=True)[1]
+    out = []
+    for i in range(n - 1):
+        lists = [posting[begin[t] : begin[t + 1]] for t in mine[start[i] : start[i + 1]].tolist()]
+        both = np.bincount(np.concatenate(lists), minlength=n) if lists else np.zeros(n, np.int64)
+        inside = (size[i] + size - (differ[i] + differ - 2 * both)) // 2
+        alike = (100 * inside >= percent * (size[i] + size - inside)) & (label != label[i])
+        alike[: i + 1] = False
+        found = np.flatnonzero(alike)
+        labels, first = np.unique(label[found], return_index=True)
+        out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in found[first].tolist()]
+        label[np.isin(label, labels)] = label[i]
+    return out
+
+
+def _confirm_families(edges: DataFrame, members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b: links between components(doc_id, component, n) that lie inside families, which edges(a, b) connect.
+
+    The texts of a family, or of two blocks of a large one, meet in one task; no pair that isn't a link leaves it."""
+    family = written(connected_components(edges).toDF("doc_id", "family").join(members, "doc_id"), "families")
+    blocks = family.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / TEXT_BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    place = family.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = place.select("doc_id", "component", "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    rows = place.join(texts, "doc_id").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "doc_id")
 
     def run(batches):
-        key, sets = None, {}
-        for batch in batches:
-            out_a, out_b = [], []
-            for c, x, y, role, a, b, text in zip(*(batch.column(n).to_pylist() for n in ("component", "x", "y", "role", "a", "b", "text"))):
-                if key != (c, x, y):
-                    key, sets = (c, x, y), {}
-                if role == 0:
-                    sets.setdefault(a, []).append(shingle_set(text, words))
-                elif _any_alike(sets[a], sets[b], percent):
-                    out_a.append(a)
-                    out_b.append(b)
-            yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        key, ids, comps, sets = None, [], [], []
 
-    return rows.select("component", "x", "y", "role", "a", "b", "text").mapInArrow(run, "a long, b long")
+        def solved():
+            pairs = linking_forest(ids, comps, sets, percent) if len(set(comps)) > 1 else []
+            for held in (ids, comps, sets):
+                held.clear()
+            return pa.record_batch([pa.array([p for p, _ in pairs], pa.int64()), pa.array([q for _, q in pairs], pa.int64())], names=["a", "b"])
 
+        for batch in batches:
+            for f, x, y, doc_id, component, text in zip(*(batch.column(c).to_pylist() for c in ("family", "x", "y", "doc_id", "component", "text"))):
+                if key != (f, x, y):
+                    yield solved()
+                    key = (f, x, y)
+                s = shingle_set(text, words)
+                if len(s):
+                    ids.append(doc_id)
+                    comps.append(component)
+                    sets.append(s)
+        yield solved()
 
-def _agreeing(a: tuple, b: tuple, same: bool, percent: int):
-    """Pairs of different components among two blocks of (ids, signatures, components, sizes)."""
-    (ids_a, sig_a, comp_a, n_a), (ids_b, sig_b, comp_b, n_b) = a, b
-    for i in range(len(ids_a)):
-        lo = i + 1 if same else 0
-        other = lo + np.flatnonzero(comp_b[lo:] != comp_a[i])
-        agree = (sig_b[other] == sig_a[i]).sum(1, dtype=np.int32)
-        for j in other[agree >= least_agreement(n_a[i], n_b[other], percent)].tolist():
-            yield min(ids_a[i], ids_b[j]), max(ids_a[i], ids_b[j])
+    return rows.select("family", "x", "y", "doc_id", "component", "text").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -222,7 +277,6 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = PERCENT)
     # merge: what is wanted grows with the documents, so it is never broadcast, whatever its size is now
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text"]), "candidates")
     sigs = reps.select("doc_id", "sig", F.col("n_shingles").alias("n"))
-    near = stars.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
 
     def likely(batches):
         for b in batches:
@@ -232,7 +286,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = PERCENT)
             keep = pa.array((sa == sb).sum(1) >= least_agreement(b.column("na").to_numpy(), b.column("nb").to_numpy(), percent))
             yield b.select(["a", "b"]).filter(keep)
 
-    links = written(_confirm_stars(near.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(likely, "a long, b long").distinct(), texts, words, percent), "links")
+    def likely_pairs(pairs):
+        near = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
+        return near.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(likely, "a long, b long").distinct()
+
+    links = written(_confirm_stars(likely_pairs(stars), texts, words, percent), "links")
     comps = connected_components(links.unionByName(classes.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     comps = written(comps, "components")
     # 3. buckets that still hold several components
@@ -250,17 +308,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = PERCENT)
         ids, comp, blk, n = (t.column(c).to_numpy() for c in ("doc_id", "component", "own", "n"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, K)
         one, two = ((ids[m], sig[m], comp[m], n[m]) for m in (blk == x, blk == y))
-        pairs = list(_agreeing(one, two, x == y, percent))
+        pairs = agreeing_forest(one, two, x == y, percent)
         return pa.table({"a": pa.array([p for p, _ in pairs], pa.int64()), "b": pa.array([q for _, q in pairs], pa.int64())})
 
-    more = tiles.groupBy("key", "x", "y").applyInArrow(cross, "a long, b long").distinct()
-    more = written(more.join(stars, ["a", "b"], "left_anti"), "more")
-    extra = written(_confirm_families(more, texts, words, percent), "links")
+    edges = written(tiles.groupBy("key", "x", "y").applyInArrow(cross, "a long, b long").distinct(), "edges")
+    open_members = rest.groupBy("doc_id").agg(F.min("component").alias("component"), F.max("n").alias("n"))
+    found = written(_confirm_families(edges, open_members, texts, words, percent), "links")
     # 4. join the components that new links connect
     c = comps.withColumnRenamed("component", "c")
-    lifted = extra.join(c.withColumnRenamed("node", "a").withColumnRenamed("c", "ca"), "a", "left").join(c.withColumnRenamed("node", "b").withColumnRenamed("c", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    joined = connected_components(lifted).withColumnRenamed("node", "component").withColumnRenamed("component", "component")
-    joined = joined.toDF("component", "joined")
+    lifted = found.join(c.withColumnRenamed("node", "a").withColumnRenamed("c", "ca"), "a", "left").join(c.withColumnRenamed("node", "b").withColumnRenamed("c", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = connected_components(lifted).toDF("component", "joined")
     final = comps.toDF("doc_id", "component").unionByName(joined.select(F.col("component").alias("doc_id"), "component")).distinct().join(joined, "component", "left").groupBy("doc_id").agg(F.min(F.coalesce("joined", "component")).alias("component"))
     out = feats.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
