@@ -6,7 +6,8 @@ full are emitted; the underfull ones become items of the next round, in which a
 and are packed best-fit again, until one task remains (tree merge).  Places are then summed up along the tree.
 
 Only piece lengths move; ids never leave the task that made them.  A task holds the piece lengths of one input split
-(first round) or the underfull bins of `FAN_IN` tasks.
+(first round) or of the underfull bins of `FAN_IN` tasks at most `LEVELS * FAN_IN` of each fill, which is all that merges
+can use (see carried), so no task of the tree grows with the table.
 
 Defined results: a null or empty text is one piece with only the end id; null doc_ids are packed too; repeated rows are packed
 each on its own; an empty table gives an empty result; extra columns are ignored.
@@ -30,6 +31,7 @@ from .common import small_batches, widened, written
 CAPACITY = 4096
 END_ID = 1
 FAN_IN = 16
+LEVELS = 5  # of the tree, up to a million tasks
 NEARLY_FULL = 4064  # emitted at once; the rest of the bins goes up the tree
 CACHE_WORDS = 250_000  # two generations of so many are kept
 _TOKENIZERS: dict[str, object] = {}
@@ -225,13 +227,27 @@ def _pack_task(task: int, round_no: int, sizes: np.ndarray, capacity: int):
     return where + base, offset, used
 
 
-def _merger(round_no: int, capacity: int):
+def carried(used: list[int], nearly_full: int, each: int) -> np.ndarray:
+    """Which bins of a task go up the tree: underfull ones, at most `each` of every fill.
+
+    Best fit leaves at most one bin of a task half full or less, as two would have been joined.  So a merge has no more
+    bins to place in others than it has children, and can't use more than that of any one fill: the bins beyond
+    `each` would have come out of all merges as they are."""
+    u = np.asarray(used, np.int64)
+    order = np.argsort(u, kind="stable")
+    ordered = u[order]
+    number = np.empty(len(u), np.int64)
+    number[order] = np.arange(len(u)) - np.searchsorted(ordered, ordered)
+    return (u < nearly_full) & (number < each)
+
+
+def _merger(round_no: int, capacity: int, nearly_full: int, each: int):
     def merge(key, frame):
         t = frame.sort_by([("used", "descending"), ("bin", "ascending")])
         task = key[0].as_py()
         where, offset, used = _pack_task(task, round_no, t.column("used").to_numpy(), capacity)
-        fill = np.asarray(used, np.int64)[where & ((1 << 26) - 1)]
-        return pa.table({"bin": t.column("bin"), "parent": pa.array(where), "shift": pa.array(offset), "fill": pa.array(fill), "task": pa.array(np.full(len(where), task, np.int64))})
+        own = where & ((1 << 26) - 1)
+        return pa.table({"bin": t.column("bin"), "parent": pa.array(where), "shift": pa.array(offset), "fill": pa.array(np.asarray(used, np.int64)[own]), "up": pa.array(carried(used, nearly_full, each)[own] & (offset == 0)), "task": pa.array(np.full(len(where), task, np.int64))})
 
     return merge
 
@@ -240,7 +256,7 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, nearly_full: int = NEARL
     """items (with a column length, at most capacity) plus sequence_id and offset."""
     from pyspark import TaskContext
 
-    names = [f.name for f in items.schema]
+    names, each = [f.name for f in items.schema], LEVELS * fan_in
 
     def first(batches):
         got = [b for b in batches if b.num_rows]
@@ -248,24 +264,24 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, nearly_full: int = NEARL
             return
         t = pa.Table.from_batches(got)
         where, offset, used = _pack_task(TaskContext.get().partitionId(), 0, t.column("length").to_numpy(), capacity)
-        fill = np.asarray(used, np.int64)[where & ((1 << 26) - 1)]
-        yield from t.append_column("_bin", pa.array(where)).append_column("_at", pa.array(offset)).append_column("_fill", pa.array(fill)).to_batches()
+        own = where & ((1 << 26) - 1)
+        up = carried(used, nearly_full, each)[own] & (offset == 0)
+        yield from t.append_column("_bin", pa.array(where)).append_column("_at", pa.array(offset)).append_column("_fill", pa.array(np.asarray(used, np.int64)[own])).append_column("_up", pa.array(up)).to_batches()
 
-    schema = widened(items.schema, _bin=T.LongType(), _at=T.LongType(), _fill=T.LongType())
+    schema = widened(items.schema, _bin=T.LongType(), _at=T.LongType(), _fill=T.LongType(), _up=T.BooleanType())
     placed = written(items.mapInArrow(first, schema), "packed")
     # a bin's first item stands for it
-    bins = placed.where(F.col("_at") == 0).select(F.col("_bin").alias("bin"), F.col("_fill").alias("used"), (F.shiftright("_bin", 26).bitwiseAND((1 << 32) - 1)).alias("task"))
-    level = bins.where(F.col("used") < nearly_full)
-    tasks = (bins.agg(F.max("task")).first()[0] or 0) + 1
+    level = placed.where("_up").select(F.col("_bin").alias("bin"), F.col("_fill").alias("used"), (F.shiftright("_bin", 26).bitwiseAND((1 << 32) - 1)).alias("task"))
+    tasks = (level.agg(F.max("task")).first()[0] or 0) + 1
     moves, round_no = [], 0
     while tasks > 1:
         round_no += 1
         tasks = -(-tasks // fan_in)
 
         grouped = level.select("bin", "used", F.floor(F.col("task") / fan_in).alias("task")).groupBy("task")
-        moved = written(grouped.applyInArrow(_merger(round_no, capacity), "bin long, parent long, shift long, fill long, task long"), f"merge{round_no}")
+        moved = written(grouped.applyInArrow(_merger(round_no, capacity, nearly_full, each), "bin long, parent long, shift long, fill long, up boolean, task long"), f"merge{round_no}")
         moves.append(moved)
-        level = moved.where((F.col("shift") == 0) & (F.col("fill") < nearly_full)).select(F.col("parent").alias("bin"), F.col("fill").alias("used"), "task")
+        level = moved.where("up").select(F.col("parent").alias("bin"), F.col("fill").alias("used"), "task")
     # places along the tree, from the top down
     total = None
     for moved in reversed(moves):
