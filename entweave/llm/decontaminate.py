@@ -45,17 +45,26 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, window))).alias("win")).distinct()
 
 
+def worded(docs: DataFrame) -> DataFrame:
+    """doc_id, words: the lower-cased words of every text, split once and kept as a table."""
+    return written(docs.select("doc_id", F.transform(words_of(F.col("text")), _ascii_lower).alias("words")), "words")
+
+
 def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, proximity: bool = False) -> DataFrame:
     """item_id, doc_id, at (from 0), len: where a window occurs; with proximity=True in any word order."""
-    spark = docs.sparkSession
+    return word_matches(worded(docs), items, window=window, proximity=proximity)
+
+
+def word_matches(words: DataFrame, items: DataFrame, *, window: int = WINDOW, proximity: bool = False) -> DataFrame:
+    """matches() of what worded() gives."""
     wins = written(windows_of(items, window).groupBy("win").agg(F.collect_set("item_id").alias("item_ids")).withColumn("win_id", F.xxhash64("win")), "windows")
     terms = wins.select(F.explode("win").alias("term")).distinct()
     measured = wins.agg(F.sum(F.length(F.concat_ws(" ", "win")) * 2 + 160 + F.size("item_ids") * 24)).first()[0] or 0
     small = measured * window <= BROADCAST_BYTES
     side = F.broadcast if small else (lambda df: df)
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", words_of(F.col("text")).alias("words"))
+    texts = words.where(F.col("doc_id").isNotNull()).select("doc_id", "words")
     # how often each test term occurs: counted over all documents, summed per task before the shuffle
-    tokens = texts.select(F.explode("words").alias("word")).select(_ascii_lower(F.col("word")).alias("term"))
+    tokens = texts.select(F.explode("words").alias("term"))
     counts = tokens.join(side(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     counts = written(terms.join(counts, "term", "left").na.fill(0, ["df"]), "terms")
     ranked = wins.select("win_id", F.posexplode("win").alias("off", "term")).join(side(counts), "term")
@@ -68,15 +77,18 @@ def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, proximit
     # a window with a term that never occurs has no match anywhere
     anchors = wins.join(ranked.where(F.col("least") > 0), "win_id").select(F.col("first.term").alias("term"), F.col("first.off").alias("off"), "second", "win", "item_ids")
     anchors = written(anchors, "anchors")
-    postings = texts.select("doc_id", "words", F.posexplode("words").alias("pos", "word")).withColumn("term", _ascii_lower(F.col("word")))
-    around = F.slice("words", F.greatest(F.col("pos") - window + 2, F.lit(1)), 2 * window - 1)
+    # a posting carries the words around it, and only these: no document's words are moved
+    near = F.slice("words", F.greatest(F.col("pos") - window + 2, F.lit(1)), 2 * window - 1)
     base = F.greatest(F.col("pos") - window + 1, F.lit(0))
+    wanted = anchors.select("term").distinct()
+    postings = texts.select("doc_id", "words", F.posexplode("words").alias("pos", "term"))
     if small:
-        found = postings.join(F.broadcast(anchors.select("term").distinct()), "term", "left_semi")
+        # in the pass over the texts, so the words around are cut out only where a term is wanted
+        found = postings.join(F.broadcast(wanted), "term", "left_semi").select("term", "doc_id", "pos", base.alias("base"), near.alias("near"))
     else:
-        found = postings.join(anchors.select("term").distinct(), "term", "left_semi")
+        found = postings.select("term", "doc_id", "pos", base.alias("base"), near.alias("near")).join(wanted.hint("merge"), "term")  # not a semi join: the optimizer would move that below the slices
     # the stored index: postings of the anchor terms with their neighbourhood
-    index = written(found.select("term", "doc_id", "pos", base.alias("base"), F.transform(around, _ascii_lower).alias("near")), "postings")
+    index = written(found, "postings")
     hit = index.join(side(anchors), "term")
     if proximity:
         size = F.size("win")
@@ -95,10 +107,11 @@ def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, proximit
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, least_items: int = 2) -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = written(matches(docs, items, window=window), "matches")
+    words = worded(docs)
+    found = written(word_matches(words, items, window=window), "matches")
     hits = found.select("doc_id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("len") - 1)).alias("p")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     per_item = found.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item_id")), ","), 256).alias("items_sha256"))
-    sized = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    sized = words.select("doc_id", F.size("words").cast("long").alias("n_words"))
     out = sized.join(hits, "doc_id", "left").join(per_item, "doc_id", "left")
     n_items = F.coalesce("n_items", F.lit(0).cast("long"))
     return out.select("doc_id", "n_words", F.least(F.coalesce("n_hit", F.lit(0).cast("long")), F.col("n_words")).alias("n_hit"), n_items.alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_items >= least_items).alias("contaminated"))
