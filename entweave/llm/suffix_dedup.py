@@ -1,19 +1,18 @@
 """Suffix-array dedup: removes each byte covered by a string of `length` bytes that also starts earlier.
 
-A position's longest previous factor (LPF) is the longest string that starts there and also earlier; a byte goes if a
-position with LPF >= length reaches over it.  LPF values themselves aren't computed, nor are previous and next smaller
-positions: the cut asks only whether LPF >= length, which is whether the window of `length` bytes occurs earlier, so the
-windows are sorted by just these bytes, where equal strings meet:
+A position's longest previous factor (LPF) is the longest string that starts there and also earlier.  In suffix order it is what the
+position shares with the nearest suffix before it, or with the nearest after it, of those that start earlier: its
+previous and next smaller positions.  A byte goes if a position with LPF >= length reaches over it, so LPF values are capped there.
 
 1. In every window of `length` bytes the k-byte string of the smallest hash, its minimizer, is found.  Equal windows
    have equal minimizers, so windows whose minimizer occurs once in the corpus can't repeat and are done with.
 2. Neighbouring windows with one minimizer form a segment.  Segments whose minimizer occurs again are brought together
    by the minimizer's hash.  Segments of equal bytes are collapsed first: all but the earliest repeat entirely.
-3. Each task sorts the suffixes of its distinct segments (prefix doubling by numpy, as deep as `length` bytes), equal
-   ones by (doc_id, place), and looks at the neighbour before: one that shares `length` bytes is an earlier match.
-4. Where one minimizer gathers more than `SORT_BYTES`, its windows are ordered by 128-bit hashes instead of by suffix,
-   which takes less memory; beyond `HOT_BYTES` they don't meet in one task at all: the earliest of equal windows is
-   found by partial aggregation.  Either is the same decision, for any group size.
+3. Each task orders the suffixes of its distinct segments (prefix doubling by numpy, as deep as `length` bytes), finds
+   the previous and next smaller position of each and computes its LPF (see longest_previous).
+4. Where one minimizer gathers more than a task should order, its segments are cut by longer minimizers, in the task beyond
+   `SORT_BYTES` and before the shuffle beyond `HOT_BYTES`, at last by whole windows: places of one and the same
+   window need no order, the earliest of them stays (before the shuffle it is found by partial aggregation).
 5. The repeated starts come back to their documents, which are cut; matches never cross documents.
 
 Defined results: a null text is empty; null doc_ids are neither compared nor cut; identical rows of one doc_id count as one
@@ -35,7 +34,7 @@ from .repeats import later_copies
 
 LENGTH = 100
 GRAM = 32
-HOT_BYTES = 16 << 20  # of segments of one minimizer
+HOT_BYTES = 16 << 20  # of segments of one minimizer, before equal ones collapse
 SORT_BYTES = 4 << 20
 TEXT_BLOCK = 1 << 20  # bytes looked at at once
 TASK_BYTES = 1 << 20  # segment bytes sorted at once
@@ -85,58 +84,119 @@ def segments(raw: bytes, length: int = LENGTH, gram: int = GRAM):
     return np.concatenate(heads).view(np.int64), np.concatenate(firsts), np.concatenate(ends), np.concatenate(twice)
 
 
-def earlier_matches(parts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Over the windows of all parts, part by part: does the window also start earlier, by (doc, start) of the parts?
+def previous_smaller(p: np.ndarray) -> np.ndarray:
+    """Index of the nearest entry before each that is smaller, or -1; all entries advance together by pointer jumping.
 
-    The suffixes are ranked by 8, 16, 32, 64 and `length` bytes; in suffix order, with suffixes that agree in `length`
-    bytes ordered by position, a window's longest previous factor reaches `length` just if its neighbour before it
-    shares them."""
+    What lies between an entry and its pointer is never smaller than it, so the pointer of a pointer is a valid one."""
+    at = np.arange(-1, len(p) - 1)
+    todo = np.flatnonzero(at >= 0)
+    todo = todo[p[at[todo]] >= p[todo]]
+    while len(todo):
+        at[todo] = at[at[todo]]
+        todo = todo[at[todo] >= 0]
+        todo = todo[p[at[todo]] >= p[todo]]
+    return at
+
+
+_BYTES = np.uint64(256) ** np.arange(1, 8, dtype=np.uint64)
+
+
+def _common_prefix(word: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """How many bytes the strings at a and b share, up to `length`; word: the eight bytes at each place as a number."""
+    out = np.full(len(a), length, np.int64)
+    live = np.arange(len(a))
+    for k in range(0, length, 8):
+        differ = word[a + k] ^ word[b + k]
+        ends = np.flatnonzero(differ)
+        out[live[ends]] = k + 7 - np.searchsorted(_BYTES, differ[ends], side="right")
+        keep = np.flatnonzero(differ == 0)
+        live, a, b = live[keep], a[keep], b[keep]
+        if not len(live):
+            break
+    return np.minimum(out, length)
+
+
+def longest_previous(parts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Over the windows of all parts, part by part: the LPF, capped at `length`, among these windows; earlier is by
+    (doc, start).  A place that two parts bring isn't earlier than itself."""
     sizes = np.array([len(p) for p in parts])
     raw = np.frombuffer(b"".join(parts) + bytes(length + 8), np.uint8).astype(np.uint64)
     total = int(sizes.sum())
     word = np.zeros(total + length, np.uint64)
     for i in range(8):
         word = (word << np.uint64(8)) | raw[i : i + total + length]
-    rank, have = np.unique(word, return_inverse=True)[1].astype(np.uint64), 8
-    while have < length:
-        step = min(have, length - have)
-        pair = (rank[: total + length - have - step] << np.uint64(32)) | rank[step : total + length - have]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
-        have += step
     windows = sizes - length + 1
-    base = np.repeat(np.cumsum(sizes) - sizes, windows)
     off = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    suffix, where, owner = rank[base + off], np.repeat(start, windows) + off, np.repeat(doc, windows)
-    order = np.lexsort((where, owner, suffix))
-    shares = np.concatenate(([False], suffix[order][1:] == suffix[order][:-1]))
-    # the place itself, met twice (segments of one document may overlap at block ends), isn't an earlier one
-    same = np.concatenate(([False], (where[order][1:] == where[order][:-1]) & (owner[order][1:] == owner[order][:-1])))
-    head = np.maximum.accumulate(np.where(shares & same, 0, np.arange(len(order))))
-    out = np.zeros(len(order), bool)
-    out[order] = shares[head]
+    place = np.repeat(np.cumsum(sizes) - sizes, windows) + off
+    when = (np.repeat(np.unique(doc, return_inverse=True)[1], windows) << 40) | (np.repeat(start, windows) + off)
+    key, have = word, 8
+    while have < length:  # ranks by 8, 16, 32, ... bytes; the last step only orders the windows
+        step = min(have, length - have)
+        rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+        key = (rank[: total + length - have - step] << np.uint64(32)) | rank[step : total + length - have]
+        have += step
+    order = np.argsort(key[place], kind="stable")
+    when, place = when[order], place[order]
+    before = previous_smaller(when)
+    after = len(when) - 1 - previous_smaller(when[::-1])[::-1]
+    lpf = np.zeros(len(when), np.int64)
+    for other, there in ((before, before >= 0), (after, after < len(when))):
+        i = np.flatnonzero(there)
+        lpf[i] = np.maximum(lpf[i], _common_prefix(word, place[i], place[other[i]], length))
+    out = np.empty(len(lpf), np.int64)
+    out[order] = lpf
     return out
 
 
-def equal_windows(parts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """What earlier_matches gives, by 128-bit rolling hashes of the windows, in less memory."""
-    table = np.random.default_rng(5).integers(0, 1 << 63, 256, np.int64).astype(np.uint64)
-    one, two = [], []
-    for p in parts:
-        raw = np.frombuffer(p, np.uint8)
-        one.append(_gram_hashes(raw, length))
-        two.append(_gram_hashes(table[raw], length))
-    windows = np.array([len(x) for x in one])
-    h1, h2 = np.concatenate(one), np.concatenate(two)
-    off = np.arange(len(h1)) - np.repeat(np.cumsum(windows) - windows, windows)
-    where, owner = np.repeat(start, windows) + off, np.repeat(doc, windows)
-    order = np.lexsort((where, owner, h2, h1))
-    h1, h2, where, owner = h1[order], h2[order], where[order], owner[order]
-    shares = np.concatenate(([False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])))
-    same = np.concatenate(([False], (where[1:] == where[:-1]) & (owner[1:] == owner[:-1])))
-    head = np.maximum.accumulate(np.where(shares & same, 0, np.arange(len(order))))
-    out = np.zeros(len(order), bool)
-    out[order] = shares[head]
-    return out
+def matched(parts: list[bytes], doc: list[int], start: list[int], length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int]]:
+    """(doc, lo, hi): runs of windows of the parts whose LPF is `length`.  Parts of more than SORT_BYTES are cut by longer
+    minimizers, windows that share `length` bytes stay together."""
+    out: list[tuple[int, int, int]] = []
+    if sum(map(len, parts)) <= SORT_BYTES:
+        if not parts:
+            return out
+        hit = longest_previous(parts, np.array(doc), np.array(start), length) >= length
+        at = 0
+        for p, d, s in zip(parts, doc, start):
+            n = len(p) - length + 1
+            if hit[at : at + n].any():
+                out.extend((d, s + lo, s + hi) for lo, hi in _ranges(hit[at : at + n]))
+            at += n
+        return out
+    if gram >= length:  # the segments of a group are places of one window
+        first: dict[bytes, tuple[int, int]] = {}
+        for p, d, s in zip(parts, doc, start):
+            w = p[:length]
+            first[w] = min(first.get(w, (d, s)), (d, s))
+        for p, d, s in zip(parts, doc, start):
+            lo = s + (first[p[:length]] == (d, s))
+            if lo < (hi := s + len(p) - length + 1):
+                out.append((d, lo, hi))
+        return out
+    gram = _longer(gram, length)
+    cut = [segments(p, length, gram) for p in parts]
+    head, lo, hi, twice = (np.concatenate(x) for x in zip(*cut))
+    of = np.repeat(np.arange(len(parts)), [len(c[0]) for c in cut])
+    order = np.argsort(head, kind="stable")
+    edge = np.flatnonzero(np.diff(head[order])) + 1
+    group: tuple[list[bytes], list[int], list[int]] = ([], [], [])
+    size = 0
+    for members in np.split(order, edge):
+        if len(members) == 1 and not twice[members[0]]:
+            continue
+        for i in members.tolist():
+            piece = parts[of[i]][lo[i] : hi[i] + length - 1]
+            for column, value in zip(group, (piece, doc[of[i]], start[of[i]] + int(lo[i]))):
+                column.append(value)
+            size += len(piece)
+        if gram >= length or size >= TASK_BYTES:  # a group of its own, or several small ones
+            out += matched(*group, length, gram)
+            group, size = ([], [], []), 0
+    return out + matched(*group, length, gram)
+
+
+def _longer(gram: int, length: int) -> int:
+    return min(length, 2 * gram)
 
 
 def _ranges(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -182,8 +242,20 @@ def repeated_starts(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
             for at in range(0, max(1, len(rows)), 5000):
                 yield pa.record_batch([pa.array(c[at : at + 5000], t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()))], names=["h", "doc_id", "lo", "piece", "hot", "twice"])
 
-    pieces = written(placed.mapInArrow(cut, "h long, doc_id long, lo int, piece binary, hot boolean, twice boolean"), "segments")
-    met = pieces.where("not hot").select("h", "doc_id", "lo", "piece", "twice").repartition("h").sortWithinPartitions("h", "piece", "doc_id", "lo")
+    pieces = written(placed.mapInArrow(cut, PIECES), "segments")
+    found = _met(pieces.where("not hot"), length, gram)
+    crowded = pieces.where("hot").drop("hot")
+    if not crowded.isEmpty():
+        found = found.unionByName(_crowded(crowded, length, gram, hot))
+    return found
+
+
+PIECES = "h long, doc_id long, lo int, piece binary, hot boolean, twice boolean"
+
+
+def _met(pieces: DataFrame, length: int, gram: int) -> DataFrame:
+    """doc_id, lo, hi of the repeats among pieces(h, doc_id, lo, piece, twice), which meet by h."""
+    met = pieces.select("h", "doc_id", "lo", "piece", "twice").repartition("h").sortWithinPartitions("h", "piece", "doc_id", "lo")
 
     def match(batches):
         parts: list[bytes] = []
@@ -194,14 +266,7 @@ def repeated_starts(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
 
         def solve():
             nonlocal size, group
-            if parts:
-                hit = (earlier_matches if size <= SORT_BYTES else equal_windows)(parts, np.array(docs_), np.array(starts), length)
-                at = 0
-                for p, d, s in zip(parts, docs_, starts):
-                    n = len(p) - length + 1
-                    if hit[at : at + n].any():
-                        out.extend((d, s + lo, s + hi) for lo, hi in _ranges(hit[at : at + n]))
-                    at += n
+            out.extend(matched(parts, docs_, starts, length, gram))
             parts.clear()
             docs_.clear()
             starts.clear()
@@ -237,26 +302,47 @@ def repeated_starts(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
         solve()
         yield give()
 
-    cold = met.mapInArrow(match, "doc_id long, lo int, hi int")
+    return met.mapInArrow(match, "doc_id long, lo int, hi int")
+
+
+def _crowded(pieces: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """The same for pieces of hot minimizers, which don't meet in one task: equal ones collapse by partial aggregation, what
+    is left is cut by longer minimizers, hot ones of these by whole windows."""
+    keyed = written(pieces.withColumns({"k1": F.xxhash64("piece"), "k2": F.xxhash64(F.lit(1), "piece")}), "hot")
+    first = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "lo")).alias("f"))
+    judged = keyed.join(first, ["k1", "k2"]).withColumn("is_first", (F.col("doc_id") == F.col("f.doc_id")) & (F.col("lo") == F.col("f.lo")))
+    copies = judged.where(~F.col("is_first")).select("doc_id", "lo", (F.col("lo") + F.length("piece") - length + 1).cast("int").alias("hi"))
+    longer = _longer(gram, length)
+
+    def recut(batches):
+        for b in batches:
+            rows = []
+            for doc_id, lo, piece in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lo", "piece"))):
+                for h, f, e, t in zip(*(x.tolist() for x in segments(piece, length, longer))):
+                    rows.append((h, doc_id, lo + f, piece[f : e + length - 1], False, t))
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            for at in range(0, max(1, len(rows)), 5000):
+                yield pa.record_batch([pa.array(c[at : at + 5000], t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()))], names=["h", "doc_id", "lo", "piece", "hot", "twice"])
+
+    small_batches(pieces.sparkSession, 200)
+    cut = written(judged.where("is_first").select("doc_id", "lo", "piece").mapInArrow(recut, PIECES), "longer")
+    counts = cut.groupBy("h").agg(F.count("*").alias("c"), F.max("twice").alias("again"), F.sum(F.length("piece")).alias("n")).where("c > 1 or again").select("h", (F.col("n") > hot).alias("still"))
+    cut = written(cut.join(counts, "h"), "longer-met")
+    found = copies.unionByName(_met(cut.where("not still"), length, longer))
+    still = cut.where("still")
+    if still.isEmpty():
+        return found
 
     def explode(batches):
         digest = xxhash.xxh3_128_digest
         for b in batches:
-            ids, at, keys = [], [], []
             for doc_id, lo, piece in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lo", "piece"))):
                 n = len(piece) - length + 1
-                ids += [doc_id] * n
-                at += range(lo, lo + n)
-                keys += [digest(piece[i : i + length]) for i in range(n)]
-            k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            yield pa.record_batch([pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(ids, pa.int64()), pa.array(at, pa.int64())], names=["k1", "k2", "doc_id", "at"])
-
-    crowded = pieces.where("hot").select("doc_id", "lo", "piece")
-    if crowded.limit(1).count():
-        windows = crowded.mapInArrow(explode, "k1 long, k2 long, doc_id long, at long")
-        late = later_copies(windows).select("doc_id", F.col("at").cast("int").alias("lo"), (F.col("at") + 1).cast("int").alias("hi"))
-        cold = cold.unionByName(late)
-    return cold
+                k = np.frombuffer(b"".join([digest(piece[i : i + length]) for i in range(n)]), np.int64).reshape(-1, 2)
+                yield pa.record_batch([pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(np.full(n, doc_id)), pa.array(np.arange(lo, lo + n))], names=["k1", "k2", "doc_id", "at"])
+
+    windows = still.select("doc_id", "lo", "piece").mapInArrow(explode, "k1 long, k2 long, doc_id long, at long")
+    return found.unionByName(later_copies(windows).select("doc_id", F.col("at").cast("int").alias("lo"), (F.col("at") + 1).cast("int").alias("hi")))
 
 
 def dedup_suffixes(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_BYTES) -> DataFrame:
