@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, widened, written
+from .common import small_batches, widened, with_cuts, written
 from .repeats import later_copies
 
 WINDOW = 3
@@ -123,9 +123,9 @@ def dedup_lines(docs: DataFrame, *, window: int = WINDOW, min_words: int | None
     repeated = marks.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
     found = marks.join(repeated, ["k1", "k2"]).select("doc_id", "at", "lo", "around")
     runs = written(_extended(found, window), "runs")
-    cuts = later_copies(runs).groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("_cut"))
-    base = docs.drop("n_lines", "n_removed", "_cut")
-    joined = base.join(cuts.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    cuts = later_copies(runs).groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("cut"))
+    base = docs.drop("n_lines", "n_removed")
+    joined, cut_name = with_cuts(base, cuts)
     schema = widened(base.schema, n_lines=T.LongType(), n_removed=T.LongType())
     names = base.columns
     counted = "n_chars" in names and base.schema["n_chars"].dataType == T.LongType()
@@ -133,7 +133,7 @@ def dedup_lines(docs: DataFrame, *, window: int = WINDOW, min_words: int | None
     def run(batches):
         for b in batches:
             texts, total, removed = [], [], []
-            for text, cut in zip(b.column("text").to_pylist(), b.column("_cut").to_pylist()):
+            for text, cut in zip(b.column("text").to_pylist(), b.column(cut_name).to_pylist()):
                 at, _, _, _, lines = line_hashes(text)
                 gone = {at[j] for c in cut or () for j in range(c // 256, c // 256 + c % 256) if j < len(at)}
                 if gone:

@@ -1,11 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
 Texts are cut into sentences (after . ! ? or an ellipsis followed by white space, after full-width stops, and at line ends; a
-"sentence" without such an end for more than ``MAX_WORDS`` words is cut there, so tables and lists are covered too).  From
-every sentence on, and up to every sentence, the shortest run of consecutive sentences that has `min_words` words, be
-it one sentence or many, is hashed to 128 bits and joined globally; all but the first occurrence of a run, by (doc_id,
-place), are repeats, and every sentence that a repeat covers is removed.  Any repeated run of `min_words` words goes whole: each of
-its sentences begins or ends, or lies inside, a shortest run that the repeat contains.
+"sentence" without such an end for more than ``MAX_WORDS`` words, as in tables and lists, is cut after words that their
+own hash selects, so that a passage inside it is cut alike wherever it stands).  Every run of ``SPAN`` consecutive
+sentences is hashed to 128 bits; where these have fewer or more words than `min_words`, so are the shortest runs from each
+sentence on, and up to each sentence, that have that many, be it one sentence or several.  (Longer runs consist of these.)
+The hashes are joined globally; all but the first occurrence of a run, by (doc_id, place), are repeats, and every sentence that a repeat
+covers is removed.  Any repeated run of `SPAN` sentences or of `min_words` words goes whole: each of its sentences begins
+or ends, or lies inside, a hashed run that the repeat contains.
 
 Words are separated by white space; in scripts written without spaces (Han, kana, Thai, Lao, Khmer, Burmese) two
 characters count as a word.
@@ -20,6 +22,7 @@ through, except that columns named like the results are replaced."""
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +31,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, widened
+from .common import small_batches, widened, with_cuts
 from .repeats import later_copies
 
+SPAN = 3
 MIN_WORDS = 20
 MAX_WORDS = 40
+CUT_WORDS = 16  # of a sentence without ends: words between two cuts, on average
 _BARE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _END = re.compile(r"[.!?…]+\s+|[。！？｡．]+[」』”’）]*\s*|\n\s*")
 _UNSPACED = re.compile(f"[{_BARE}]")
 _WORD = re.compile(rf"(?:[{_BARE}]{{1,2}}|[^\s{_BARE}]+)\s*")
+_PART = re.compile(rf"(?:[{_BARE}]|[^\s{_BARE}]+)\s*")
 
 
 def n_words(s: str) -> int:
     return len(s.split()) if s.isascii() or not _UNSPACED.search(s) else len(_WORD.findall(s))
 
 
+def _chunks(s: str, max_words: int) -> list[str]:
+    """Pieces of at most max_words words, cut after words (of bare scripts: pairs of characters) that their hash selects."""
+    words = _PART.findall(s)
+    out, now, size, last = [], [s[: len(s) - sum(map(len, words))]], 0, ""
+    for w in words:
+        bare = w.strip()
+        half = len(bare) == 1 and _UNSPACED.match(bare) is not None
+        now.append(w)
+        size += 1 if half else 2
+        mark = zlib.crc32((last + bare if half else bare).encode("utf-8", "surrogatepass"))
+        last = bare if half else ""
+        if size >= 2 * max_words or mark % (2 * CUT_WORDS if half else CUT_WORDS) == 0:
+            out.append("".join(now))
+            now, size = [], 0
+    return [*out, "".join(now)] if now else out
+
+
 def sentences(text: str | None, max_words: int = MAX_WORDS) -> list[str]:
     """Pieces that join to the text again."""
     text = text or ""
@@ -53,24 +76,21 @@ def sentences(text: str | None, max_words: int = MAX_WORDS) -> list[str]:
     for end in ends:
         s, at = text[at:end], end
         if s.count(" ") >= max_words or len(s) > max_words and not s.isascii() and _UNSPACED.search(s):
-            words = _WORD.findall(s)
-            if len(words) > max_words:
-                lead = s[: len(s) - sum(map(len, words))]
-                parts = ["".join(words[i : i + max_words]) for i in range(0, len(words), max_words)]
-                out += [lead + parts[0], *parts[1:]]
+            if n_words(s) > max_words:
+                out += _chunks(s, max_words)
                 continue
         out.append(s)
     return out
 
 
 def runs(parts: list[str], min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """(first sentence, number of sentences, 128-bit hash) of every run; sentences are numbered without blank ones."""
+    """(first sentence, number of sentences, 128-bit hash) of every run that is hashed; sentences are numbered without blank ones."""
     joined = [" ".join(w) for w in (p.split() for p in parts) if w]
     before = [0]
     for s in joined:
         before.append(before[-1] + n_words(s))
     n = len(joined)
-    found = set()
+    found = {(i, SPAN) for i in range(n - SPAN + 1) if before[i + SPAN] - before[i] < min_words}
     end = 0
     for i in range(n):  # the shortest run from each sentence on
         end = max(end, i + 1)
@@ -111,16 +131,16 @@ def dedup_substrings(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFram
     """docs with the repeated sentences cut from text, plus n_sentences and n_removed."""
     small_batches(docs.sparkSession)
     spans = _spans(docs, min_words)
-    repeats = later_copies(spans).groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("_cut"))
-    base = docs.drop("n_sentences", "n_removed", "_cut")
-    joined = base.join(repeats.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    repeats = later_copies(spans).groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("cut"))
+    base = docs.drop("n_sentences", "n_removed")
+    joined, cut_name = with_cuts(base, repeats)
     schema = widened(base.schema, n_sentences=T.LongType(), n_removed=T.LongType())
     names = base.columns
 
     def run(batches):
         for b in batches:
             texts, total, removed = [], [], []
-            for text, cut in zip(b.column("text").to_pylist(), b.column("_cut").to_pylist()):
+            for text, cut in zip(b.column("text").to_pylist(), b.column(cut_name).to_pylist()):
                 parts = sentences(text)
                 full = [i for i, p in enumerate(parts) if p.split()]
                 gone = {full[i] for c in cut or () for i in range(c // 256, c // 256 + c % 256) if i < len(full)}
