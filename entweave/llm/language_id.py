@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, small_batches, widened
+from .common import held_out, small_batches, widened, written
 
 PROFILE = 400
 DOC_PROFILE = 300
 MAX_TRAIN_DOCS = 1000
+BROADCAST_IDS = 1 << 18
 BLOCK = 1 << 19  # characters counted at once
 
 
@@ -99,8 +100,11 @@ def learn(docs: DataFrame, *, max_train_docs: int = MAX_TRAIN_DOCS, size: int =
     small_batches(spark)
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    ids = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_train_docs).select("doc_id", "lang").distinct()
-    chosen = docs.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    ids = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h")).distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_train_docs).select("doc_id", "lang")
+    ids = written(ids, "train-ids")
+    # at most max_train_docs ids a language: while they are few they go to the texts; with very many languages the texts move
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    chosen = docs.select("doc_id", "lang", "text").join(side, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches):
         for b in batches:
