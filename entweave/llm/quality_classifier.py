@@ -2,7 +2,7 @@
 
 Every word and every character n-gram of it is hashed to a row of an embedding matrix; a document is the mean of its
 rows, a softmax layer gives the class.  The model is trained with numpy stochastic gradient descent on a bounded
-sample of labelled rows (``max_train_docs``, the documented bound).  As the layer is linear in the mean, scoring needs
+sample of labelled rows (``max_train_docs`` rows, none of more than ``max_train_bytes``: the documented bounds).  As the layer is linear in the mean, scoring needs
 one number per embedding row, so every document is scored on its whole text in one streaming pass without a shuffle.
 
 Defined results: a null or empty text has no features and gets the softmax of the bias; a null label or doc_id is
@@ -26,6 +26,7 @@ from .common import held_out, small_batches, widened
 BUCKETS = 1 << 17
 DIM = 12
 MAX_TRAIN_DOCS = 3000
+MAX_TRAIN_BYTES = 1 << 16  # so that at most 196 MB of texts reach the driver
 EPOCHS = 8
 THRESHOLD = 0.3
 BLOCK = 1 << 18  # characters looked at at once
@@ -147,12 +148,14 @@ def train_numpy(texts: list[str], labels: list[int], *, buckets: int = BUCKETS,
     return QualityModel((emb @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_train_docs: int = MAX_TRAIN_DOCS) -> QualityModel:
-    """Learn from at most max_train_docs labelled rows that are not held out, those with the smallest hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_train_docs: int = MAX_TRAIN_DOCS, max_train_bytes: int = MAX_TRAIN_BYTES) -> QualityModel:
+    """Learn from labelled rows that are not held out: of the max_train_docs ones with the smallest hash of the id those whose
+    texts have at most max_train_bytes (a longer text isn't cut, it isn't learned from)."""
     marked = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).cast("int").alias("_y"))
-    # the ids are chosen before any text is moved; at most max_train_docs texts reach the driver
+    # the ids are chosen before any text is moved; the texts that reach the driver are bounded in number and in bytes
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_y").alias("_y")).orderBy("doc_id").toArrow()
+    texts = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_train_bytes)
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_y").alias("_y")).orderBy("doc_id").toArrow()
     return train_numpy(rows["text"].to_pylist(), rows["_y"].to_pylist())
 
 
