@@ -6,7 +6,9 @@ category.  For each pattern and category the log becomes validity intervals [fro
 key that hold its fetch time.
 
 The join is an equi-join on (key, time slot): intervals are cut at slot borders, so a host with a third of all
-captures is spread over the slots of its fetch times, and what adaptive execution finds still skewed it splits.  The
+captures is spread over the slots of its fetch times, and what adaptive execution finds still skewed it splits.  Keys that
+no entry has, such as the domain `com` of most captures, are left out before anything moves where the listed keys
+measure at most `BROADCAST_BYTES`.  What moves is a row's identity (ids, time and a 128-bit hash of the URL), not its URL.  The
 intervals are joined by shuffle unless Spark itself measures them to be under its broadcast limit.
 
 Hosts are compared in lower case, paths as they are written, in captures and in entries.
@@ -20,7 +22,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 SLOT_DAYS = 7
+BROADCAST_BYTES = 8 << 20
 
 
 def host_of(url):
@@ -65,18 +70,23 @@ def _slot(ts, days: int):
 
 def evaluate(captures: DataFrame, entries: DataFrame, *, slot_days: int = SLOT_DAYS) -> DataFrame:
     """captures(page_id, url, fetched) -> page_id, host, fetched, blocked, n_active, categories; one row per capture."""
-    held = intervals(entries)
+    held = written(intervals(entries), "intervals")
     # intervals are cut at the slots that captures have at all
     ends = captures.agg(F.min(_slot(F.col("fetched"), slot_days)).alias("lo"), F.max(_slot(F.col("fetched"), slot_days)).alias("hi")).first()
     lo, hi = ends["lo"] or 0, ends["hi"] or 0
     first = F.greatest(_slot(F.col("valid_from"), slot_days), F.lit(lo))
     last = F.least(F.coalesce(_slot(F.col("valid_to"), slot_days), F.lit(hi)), F.lit(hi))
-    held = held.withColumn("slot", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
-    c = captures.select("page_id", "url", "fetched", host_of(F.col("url")).alias("host"))
-    probes = c.where("fetched is not null and page_id is not null").select("page_id", "url", "fetched", F.explode(keys_of(F.col("url"))).alias("key")).withColumn("slot", _slot(F.col("fetched"), slot_days))
+    whole, held = held, held.withColumn("slot", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+    row = ["page_id", "fetched", "u1", "u2"]
+    c = captures.select("page_id", "url", "fetched", host_of(F.col("url")).alias("host"), F.xxhash64("url").alias("u1"), F.xxhash64(F.lit(1), "url").alias("u2"))
+    probes = c.where("fetched is not null and page_id is not null").select(*row, F.explode(keys_of(F.col("url"))).alias("key"))
+    listed = whole.select("key").distinct()
+    if (listed.agg(F.sum(F.octet_length("key") + 32)).first()[0] or 0) <= BROADCAST_BYTES:
+        probes = probes.join(F.broadcast(listed), "key", "left_semi")
+    probes = probes.withColumn("slot", _slot(F.col("fetched"), slot_days))
     active = probes.join(held, ["key", "slot"]).where((F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))))
-    per = active.select("page_id", "url", "fetched", "key", "category").distinct().groupBy("page_id", "url", "fetched").agg(F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
-    out = c.join(per, ["page_id", "url", "fetched"], "left")
+    per = active.select(*row, "key", "category").distinct().groupBy(*row).agg(F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
+    out = c.drop("url").join(per, row, "left")
     n = F.coalesce("n_active", F.lit(0).cast("long"))
     return out.select("page_id", "host", "fetched", (n > 0).alias("blocked"), n.alias("n_active"), F.coalesce("categories", F.lit("")).alias("categories"))
 
