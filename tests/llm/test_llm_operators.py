@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from datetime import datetime, timedelta
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -222,28 +223,81 @@ def test_suffix_dedup(docs, texts, hot, monkeypatch):
     assert got[None].n_removed == 0
 
 
-def test_suffix_order_and_hashes_agree():
+def test_longest_previous_factors():
     r = random.Random(2)
-    pool = bytes(r.choice(b"ab") for _ in range(400)) * 2
-    parts = [pool[i : i + r.randint(100, 300)] for i in r.sample(range(400), 30)]
-    doc, start = np.arange(30), np.array([r.randint(0, 50) for _ in range(30)])
-    assert (suffix_dedup.earlier_matches(parts, doc, start) == suffix_dedup.equal_windows(parts, doc, start)).all()
-
-
-def test_substring_dedup(docs, texts):
-    got = by_id(substring_dedup.op1(docs))
-    seen = {}
+    for trial in range(20):
+        pool = bytes(r.choice(b"ab" if trial % 2 else b"a") for _ in range(90)) * 2
+        parts = [pool[i : i + r.randint(12, 60)] for i in r.sample(range(100), 12)]
+        doc, start = [r.randrange(9) for _ in parts], [r.randint(0, 50) for _ in parts]
+        places = [(d, s + i, p[i : i + 12]) for p, d, s in zip(parts, doc, start) for i in range(len(p) - 11)]
+        shared = lambda x, y: next((k for k in range(12) if x[k] != y[k]), 12)
+        want = [max((shared(w, v) for e, t, v in places if (e, t) < (d, s)), default=0) for d, s, w in places]
+        assert suffix_dedup.longest_previous(parts, np.array(doc), np.array(start), 12).tolist() == want
+    p = np.array([r.randrange(50) for _ in range(500)] + list(range(60, 0, -1)))
+    assert suffix_dedup.previous_smaller(p).tolist() == [max((j for j in range(i) if p[j] < p[i]), default=-1) for i in range(len(p))]
+
+
+def test_large_groups_are_cut_by_longer_minimizers(monkeypatch):
+    r = random.Random(4)
+    text = bytes(r.choice(b"abcdefgh") for _ in range(6000)) + b"x" * 400
+    parts = [text[i : i + r.randint(100, 900)] for i in r.sample(range(5900), 60)] + [b"x" * 150, b"x" * 220, b"y" * 130]
+    doc, start = list(range(len(parts))), [r.randint(0, 50) for _ in parts]
+    spread = lambda runs: sorted((d, i) for d, lo, hi in runs for i in range(lo, hi))
+    want = spread(suffix_dedup.matched(parts, doc, start))
+    assert want
+    for most in (20_000, 300, 0):
+        monkeypatch.setattr(suffix_dedup, "SORT_BYTES", most)
+        monkeypatch.setattr(suffix_dedup, "TASK_BYTES", 1000)
+        assert spread(suffix_dedup.matched(parts, doc, start)) == want, most
+
+
+def split_sentences(text):
+    """Sentences by a scan of characters; for texts without sentences of over 40 words."""
+    out, now, text = [], "", text or ""
+    for k, c in enumerate(text):
+        now += c
+        rest = text[k + 1 :]
+        stop = now.rstrip()[-1:]
+        if c == "\n" and not rest[:1].isspace() or c.isspace() and not rest[:1].isspace() and (stop in (".", "!", "?", "…") or "\n" in now[len(now.rstrip()) :]):
+            out.append(now)
+            now = ""
+    return out + [now] if now else out
+
+
+def test_substring_dedup(spark, texts):
+    """All runs of all lengths against each other: a sentence goes if it lies in a run of 3 sentences or 20 words that occurs
+    earlier.  The library hashes shortest runs only, cuts and counts by other code."""
+    texts = {i: t for i, t in texts.items() if i not in (85, 86, 87, 88)}
+    got = by_id(substring_dedup.op1(spark.createDataFrame([*texts.items(), (None, texts[0])], "doc_id long, text string").repartition(4)))
+    seen, cut = {}, {}
     for i in sorted(texts):
-        parts = substring_dedup.sentences(texts[i])
-        assert "".join(parts) == (texts[i] or "")
-        full = [k for k, p in enumerate(parts) if p.split()]
+        full = [(k, " ".join(p.split())) for k, p in enumerate(split_sentences(texts[i])) if p.split()]
+        assert all(len(s.split()) <= 40 for _, s in full)
         gone = set()
-        for at, n, key in substring_dedup.runs(parts):
-            if seen.setdefault(key, (i, at)) != (i, at):
-                gone |= set(full[at : at + n])
-        kept = "".join(p for k, p in enumerate(parts) if k not in gone)
+        for at in range(len(full)):
+            for end in range(at + 1, min(len(full), at + 24) + 1):
+                run = tuple(s for _, s in full[at:end])
+                if end - at == 3 or sum(len(s.split()) for s in run) >= 20:
+                    if seen.setdefault(run, (i, at)) != (i, at):
+                        gone |= {k for k, _ in full[at:end]}
+        cut[i] = len(gone)
+        kept = "".join(p for k, p in enumerate(split_sentences(texts[i])) if k not in gone)
         assert (got[i].n_sentences, got[i].n_removed, got[i].kept_sha256) == (len(full), len(gone), sha(kept.encode())), i
-    assert got[89].n_removed == got[89].n_sentences  # a copy goes whole
+    assert got[89].n_removed == got[89].n_sentences and 0 < sum(v > 0 for v in cut.values()) < len(cut)  # a copy goes whole
+
+
+def test_substring_runs_of_short_sentences_and_passages_in_endless_ones(spark):
+    r = random.Random(20)
+    flow = lambda n: " ".join(r.choice("abcdefgh") + str(r.randrange(10**6)) for _ in range(n))
+    passage = flow(90)
+    rows = {1: "Own one. He came. She saw it all. They left. Own end.", 2: "He came.  She saw it all.\nThey left. Another.", 3: f"{flow(33)} {passage} {flow(51)}", 4: f"{flow(57)} {passage} {flow(28)}"}
+    got = {x.doc_id: x for x in substring_dedup.dedup_substrings(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert [got[i].text for i in (1, 2, 3)] == [rows[1], "Another.", rows[3]]
+    left = set(got[4].text.split())
+    assert len(left & set(passage.split())) <= 45 and set(rows[4].split()) - set(passage.split()) <= left
+    for text in (rows[3], "字" * 300, "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(500))):
+        parts = substring_dedup.sentences(text)
+        assert "".join(parts) == text and max(map(substring_dedup.n_words, parts)) <= 40
 
 
 def test_substring_dedup_short_runs_and_unspaced(spark):
@@ -265,7 +319,7 @@ def test_substring_dedup_short_runs_and_unspaced(spark):
         parts = [line(r.randint(1, 30), r.choice("xyz")) for _ in range(r.randint(1, 12))]
         inside = substring_dedup.runs(parts)
         covered = {k for at, n, _ in inside for k in range(at, at + n)}
-        assert covered == (set(range(len(parts))) if sum(len(p.split()) for p in parts) >= 20 else set())
+        assert covered == (set(range(len(parts))) if sum(len(p.split()) for p in parts) >= 20 or len(parts) >= 3 else set())
 
 
 def test_line_dedup(docs, texts):
@@ -343,6 +397,16 @@ def test_decontaminate_by_shuffle_and_proximity(spark, docs, texts, monkeypatch)
     phrase = sorted(map(tuple, decontaminate.matches(docs, items).collect()))
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, decontaminate.matches(docs, items).collect())) == phrase and phrase
+    made = []
+    keep = decontaminate.written
+    monkeypatch.setattr(decontaminate, "written", lambda df, name: made.append((name, df)) or keep(df, name))
+    long = [(1, " ".join(f"w{k % 977}" for k in range(20_000))), (2, None), (3, "w1 w2")]
+    found = decontaminate.matches(spark.createDataFrame(long, "doc_id long, text string"), spark.createDataFrame([(5, " ".join(f"w{k}" for k in range(900, 912)))], "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.at) for x in found) == [(1, 977 * n + k) for n in range(20) for k in range(900, 905)]
+    postings = next(df for name, df in made if name == "postings")
+    plan = spark._jvm.PythonSQLUtils.explainString(postings._jdf.queryExecution(), "formatted")
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan)
+    assert any("near" in x for x in moved) and not any("words" in x or "text" in x for x in moved), moved
     mixed = texts[2].split()[:9]
     mixed[1], mixed[2] = mixed[2], mixed[1]
     other = spark.createDataFrame([(1, " ".join(mixed[:8]))], "item_id long, text string")
@@ -394,24 +458,72 @@ def test_best_fit_is_close_to_full():
     assert sorted(np.bincount(where, sizes).astype(int)) == sorted(used)
 
 
+def places_of(rows, capacity=4096):
+    held = {}
+    for x in rows:
+        held.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for spans in held.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return held
+
+
+def test_packing_tree_holds_a_fixed_number_of_rows(spark, monkeypatch):
+    """Bins that no merge can use don't climb; underfull ones of many tasks are still joined."""
+    from pyspark.sql import functions as F
+
+    merges = []
+    keep = packing.written
+    monkeypatch.setattr(packing, "written", lambda df, name: merges.append((name, keep(df, name))) or merges[-1][1])
+    big = spark.range(0, 40_000, 1, 64).selectExpr("id as doc_id", "2100L as length")
+    assert len(places_of(packing.pack(big).collect())) == 40_000
+    rows = [df.groupBy("task").count().agg(F.max("count")).first()[0] for name, df in merges if name.startswith("merge")]
+    assert len(rows) == 2 and max(rows) <= packing.FAN_IN * packing.LEVELS * packing.FAN_IN
+    # one small piece in each partition beside large ones: the small ones fill the room of the large
+    mixed = spark.range(0, 64 * 21, 1, 64).selectExpr("id as doc_id", "if(id % 21 = 20, 500L, 3000L + id % 7) as length")
+    assert len(places_of(packing.pack(mixed).collect())) == 64 * 20
+    # small bins of all partitions meet over two levels: 19 of 1,600 tokens, of which two fit a sequence
+    few = spark.range(0, 300, 1, 300).selectExpr("id as doc_id", "100L as length")
+    assert len(places_of(packing.pack(few).collect())) == 10
+
+
+def brute_top(rows, k=10):
+    """rows(vec_id, list of finite floats): by Python's integers; a repeated query is its smallest vector."""
+    exact = [(i, v, [int((Fraction(x) * 1024) // 1) for x in v]) for i, v in rows]
+    out = []
+    for q in sorted({i for i, *_ in exact if i % 100 == 0}):
+        own = min((v, n) for n, (i, v, _) in enumerate(exact) if i == q)[1]
+        dim = len(exact[own][2])
+        best = sorted((-sum(a * b for a, b in zip(exact[own][2], w)), i) for n, (i, _, w) in enumerate(exact) if n != own and len(w) == dim)[:k]
+        out += [(q, r, i, max(1 - 2**63, min(2**63 - 1, -s))) for r, (s, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
 def test_top_k(spark):
     r = np.random.default_rng(0)
     rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(r.integers(-3, 3, (330, 4)) / 3)]
     bad = [(1000, None, 0), (1100, [float("nan"), 0.0, 0.0, 0.0], 0), (1200, [None, 1.0, 1.0, 1.0], 0), (None, [1.0] * 4, 0), (1300, [], 0), (1400, [1.0, 2.0], 0)]
-    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.top_k(spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, label int"), shard=50, block=2).collect()}
-    m = np.array([[int(np.floor(1024 * x)) for x in v] for _, v, _ in rows])
-    for q in range(0, 330, 100):
-        best = sorted(((-int(m[q] @ m[c]), c) for c in range(330) if c != q))[:10]
-        for n, (s, c) in enumerate(best, 1):
-            assert got.pop((q, n)) == (c, -s)
-    assert not got
+    repeats = [(100, [9.0] * 4, 0), (100, [9.0] * 4, 0), rows[100], rows[7], (200, rows[3][1], 0)]
+    for shard_bytes in (32 << 20, 500):
+        got = topk.top_k(spark.createDataFrame(rows + bad + repeats, "vec_id long, embedding array<double>, label int"), tile=50, block=2, shard_bytes=shard_bytes).collect()
+        want = brute_top([(i, v) for i, v, _ in rows + repeats])
+        assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == want
 
 
-def test_top_k_scores_stay_exact():
+def test_top_k_scores_stay_exact(spark):
     big = np.array([[2**40, 3]], np.int64)
     assert topk.scores(np.array([[2**20 + 1, 1]], np.int64), big)[0, 0] == (2**20 + 1) * 2**40 + 3
-    with pytest.raises(OverflowError):
-        topk.scores(big, big)
+    assert topk.scores(big, big)[0, 0] == 2**80 + 9
+    r = random.Random(3)
+    rows = [(i, [r.choice([1e17, -1e17, 1.0, 1e308, -3e300, 5e-324, 0.1]), r.choice([1.0, -2.5, 1e17])]) for i in range(120)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=30, block=2).collect()
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == brute_top(rows)
+    scores = [0, 1, -1, 2**63, 2**63 - 1, 1 - 2**63, -(2**63), -(2**700), 2**700, 2**700 + 1, -(2**64)]
+    keyed = sorted(scores, key=lambda v: (max(1 - 2**63, min(2**63 - 1, v)), topk.exact_key(v) or b""))
+    assert keyed == sorted(scores)
 
 
 def test_url_filter(spark):
