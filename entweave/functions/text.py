@@ -69,6 +69,19 @@ def exact_name(c) -> Column:
     return F.when(c.rlike(r"^[\x00-\x7F]*$"), ascii_only).otherwise(_exact_udf(F.when(~c.rlike(r"^[\x00-\x7F]*$"), c)))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _exact_list_udf(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda xs: None if xs is None else [None if x is None else _exact(x) for x in xs])
+
+
+def exact_names(c) -> Column:
+    """exact_name of every element; lists that are all ASCII don't leave the JVM."""
+    c = _col(c)
+    ascii_only = ~F.exists(c, lambda x: ~x.rlike(r"^[\x00-\x7F]*$"))
+    plain = F.transform(c, lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " ")))
+    return F.when(F.coalesce(ascii_only, F.lit(True)), plain).otherwise(_exact_list_udf(F.when(~F.coalesce(ascii_only, F.lit(True)), c)))
+
+
 def char_ngrams(c, n: int = 3) -> Column:
     """Distinct n-grams without blanks; a text of up to n characters is its own."""
     s = F.replace(_col(c), F.lit(" "), F.lit(""))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..functions.text import bounded_join, normalize
+from ..scratch import written
 
 EDGE = ("subject_qid", "predicate_pid", "object_qid")
 
@@ -43,16 +44,16 @@ def score_edges(edges: DataFrame, subjects: DataFrame) -> DataFrame:
 
 
 def best_edges(scored: DataFrame) -> DataFrame:
-    """One row per edge: the best score, then the better rank.  Combined before the shuffle."""
+    """One row per edge: the best score, then the better rank.  Rows move once, by subject, which serves the aggregation here
+    and the windows of ordered_edges."""
     best = F.max(F.struct("score", (-F.col("rank_no")).alias("r")))
-    return scored.groupBy(*EDGE).agg(best.alias("b")).select(*EDGE, F.col("b.score").alias("score"), (-F.col("b.r")).alias("rank_no"))
+    return scored.repartition("subject_qid").groupBy(*EDGE).agg(best.alias("b")).select(*EDGE, F.col("b.score").alias("score"), (-F.col("b.r")).alias("rank_no"))
 
 
 def ordered_edges(best: DataFrame) -> DataFrame:
-    """With the predicate's place per subject and the object's place per predicate; one shuffle, by subject."""
+    """With the predicate's place per subject and the object's place per predicate; both windows take rows that lie by subject as they are."""
     by_sp = Window.partitionBy("subject_qid", "predicate_pid")
-    e = best.repartition("subject_qid")
-    e = e.withColumns({"p_best": F.max("score").over(by_sp), "p_n": F.count("*").over(by_sp)})
+    e = best.withColumns({"p_best": F.max("score").over(by_sp), "p_n": F.count("*").over(by_sp)})
     e = e.withColumn("object_rank", F.row_number().over(by_sp.orderBy(F.desc("score"), "rank_no", "object_qid")))
     return e.withColumn("predicate_rank", F.dense_rank().over(Window.partitionBy("subject_qid").orderBy(F.desc("p_best"), F.desc("p_n"), "predicate_pid")))
 
@@ -107,8 +108,9 @@ def even_sample(df: DataFrame, order: list[str], limit: int) -> DataFrame:
 
 def number_rows(df: DataFrame, order: list[str]) -> DataFrame:
     """idx from 0 in a global order, by range partitions: their sizes are counted, the rows don't meet in one task."""
-    parted = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).persist()
-    parted = parted.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    parted = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    # written, so that a row keeps its partition and place whatever is lost later
+    parted = written(parted.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order))), "numbered")
     sizes = parted.groupBy("_p").agg(F.count("*").alias("_n"))
     # one row per partition, so this window is as small as the number of tasks
     starts = sizes.withColumn("_s", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_s", F.lit(0)).alias("_s"))

@@ -1,7 +1,7 @@
 """Lookup of a batch of mentions: fuzzy candidates, context, reranking.
 
 A mention is matched against the distinct names, not against the entities, and found by one trigram (its rarest among
-the names) before the full test; only matching names are joined back to their entities.  Context is attached after the cut to the best
+the names) before the full test; only matching names are joined back to what bears them.  Context is attached after the cut to the best
 candidates, so it is never built for entities that nobody asked for."""
 
 from __future__ import annotations
@@ -27,19 +27,33 @@ def prepare(mentions: DataFrame) -> DataFrame:
     return mentions.select("mention_id", "mention", terms.alias("context_terms"), checked("coarse_hints").alias("coarse_hints"), checked("fine_hints").alias("fine_hints"), get("crosslinks").alias("crosslinks"))
 
 
+def _short_grams(c: Column) -> Column:
+    """The empty string, every character and every pair of neighbouring ones."""
+    ones = F.filter(F.split(c, ""), lambda x: x != "")
+    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))), lambda x: F.length(x) == 2)
+    return F.array_distinct(F.concat(F.array(F.lit("")), ones, pairs))
+
+
 def matching_names(mentions: DataFrame, names: DataFrame) -> DataFrame:
     """mentions(mention) x names(name, both lower-cased) -> pairs where the name contains the mention, as ILIKE '%m%' has it.
 
-    Mentions with live wildcards or under three characters have no trigram and are compared with every distinct name."""
-    m = mentions.select("mention").distinct()
-    wild = F.col("mention").rlike(r"[%_\\]") | (F.length("mention") < 3)
+    A mention probes the rarest trigram of what it says literally, between its wildcards if it has any; one of under three
+    literal characters in a row probes one or two characters.  Every pair is then tested in full; nothing is joined by
+    predicate alone."""
+    live = F.col("mention").rlike(r"[%_\\]")
+    said = F.when(live, F.split(F.lower("mention"), r"[%_\\]")).otherwise(F.array(F.lower("mention")))
+    m = mentions.select("mention").distinct().select("mention", live.alias("live"), said.alias("said"))
+    m = m.withColumn("asked", F.array_distinct(F.flatten(F.transform("said", X.char_trigrams))))
+    fits = F.when(F.col("live"), F.expr("name ilike concat('%', mention, '%')")).otherwise(F.col("name").contains(F.lower("mention")))
     grams = names.select("name", F.explode(X.char_trigrams(F.col("name"))).alias("gram"))
-    frequency = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    asked = m.where(~wild).select("mention", F.explode(X.char_trigrams(F.lower("mention"))).alias("gram"))
-    rarest = asked.join(frequency, "gram", "left").groupBy("mention").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
-    found = rarest.join(grams, "gram").where(F.col("name").contains(F.lower("mention"))).select("mention", "name")
-    open_pairs = m.where(wild).join(names, F.expr("name ilike concat('%', mention, '%')")).select("mention", "name")
-    return found.unionByName(open_pairs)
+    asked = m.select("mention", "live", F.explode("asked").alias("gram"))
+    # only grams that are asked for are counted
+    frequency = grams.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = asked.join(frequency, "gram").groupBy("mention", "live").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    longest = F.array_max(F.transform("said", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    short = m.where(F.size("asked") == 0).select("mention", "live", F.substring(longest, 1, 2).alias("gram"))
+    few = names.select("name", F.explode(_short_grams(F.col("name"))).alias("gram"))
+    return rarest.join(grams, "gram").where(fits).select("mention", "name").unionByName(short.join(few, "gram").where(fits).select("mention", "name"))
 
 
 def _named_as(kind: str):
@@ -48,31 +62,33 @@ def _named_as(kind: str):
 
 
 def fuzzy_candidates(mentions: DataFrame, entities: DataFrame, *, k: int = TOP_K) -> DataFrame:
-    """mention_id, qid, score, rank: additive match score, the best k by (score, prior, qid)."""
+    """mention_id, qid, score, rank: additive match score, the best k by (score, prior, qid).
+
+    Types and prior travel with the names, so hints filter in the join and no entity is fetched again."""
     none = F.array().cast("array<string>")
+    facts = ["coarse_type", "fine_type", "prior"]
     kinds = [("label", F.array("label")), ("labels", F.coalesce("labels", none)), ("aliases", F.coalesce("aliases", none))]
     parts = [F.transform(a, _named_as(kind)) for kind, a in kinds]
-    named = entities.select("qid", F.explode(F.concat(*parts)).alias("n")).select("qid", "n.kind", "n.name").where("name is not null").distinct()
+    named = entities.select("qid", *facts, F.explode(F.array_distinct(F.concat(*parts))).alias("n")).select("qid", *facts, "n.kind", "n.name").where("name is not null")
     pairs = matching_names(mentions, named.select("name").distinct())
     equal = F.lower("mention") == F.col("name")
-    hit = named.join(pairs, "name").groupBy("mention", "qid").agg(
+    allowed = lambda hints, c: (F.size(hints) == 0) | F.array_contains(hints, F.col(c))
+    fits = allowed("coarse_hints", "coarse_type") & allowed("fine_hints", "fine_type")
+    flags = [f"{kind}_{how}" for kind, _ in kinds for how in ("eq", "in")]
+    asked = mentions.select("mention_id", "mention", "coarse_hints", "fine_hints")
+    hit = named.join(pairs, "name").join(asked, "mention").where(fits).groupBy("mention_id", "qid").agg(
         *[F.max(F.when((F.col("kind") == kind) & equal, 1).otherwise(0)).alias(f"{kind}_eq") for kind, _ in kinds],
         *[F.max(F.when(F.col("kind") == kind, 1).otherwise(0)).alias(f"{kind}_in") for kind, _ in kinds],
+        F.first("prior").alias("prior"), F.lit(0).alias("linked"),
     )
-    by_name = mentions.join(hit, "mention").drop("mention")
-    flags = [f"{kind}_{how}" for kind, _ in kinds for how in ("eq", "in")]
-    links = entities.select("qid", F.explode(F.array_distinct(F.filter(F.array("wikipedia_url", "dbpedia_url"), lambda u: u.isNotNull() & (u != "")))).alias("link"))
-    linked = mentions.select("*", F.explode("crosslinks").alias("link")).join(links, "link").select("mention_id", "qid").distinct().withColumn("linked", F.lit(1))
-    both = by_name.select("mention_id", "qid", *flags).join(linked, ["mention_id", "qid"], "full")
-    both = both.na.fill(0, [*flags, "linked"])
+    links = entities.select("qid", *facts, F.explode(F.array_distinct(F.filter(F.array("wikipedia_url", "dbpedia_url"), lambda u: u.isNotNull() & (u != "")))).alias("link"))
+    by_link = mentions.select("mention_id", "coarse_hints", "fine_hints", F.explode("crosslinks").alias("link")).join(links, "link").where(fits)
+    linked = by_link.groupBy("mention_id", "qid").agg(*[F.lit(0).alias(f) for f in flags], F.first("prior").alias("prior"), F.lit(1).alias("linked"))
+    both = hit.unionByName(linked).groupBy("mention_id", "qid").agg(*[F.max(f).alias(f) for f in [*flags, "linked"]], F.first("prior").alias("prior"))
     weights = {"label_eq": 4.0, "labels_eq": 3.0, "aliases_eq": 2.5, "label_in": 1.5, "labels_in": 1.25, "aliases_in": 1.0, "linked": 1.5}
     score = sum((F.col(f) * F.lit(w) for f, w in weights.items()), F.lit(0.0))
-    scored = both.select("mention_id", "qid", score.alias("score")).join(entities.select("qid", "coarse_type", "fine_type", "prior"), "qid")
-    scored = scored.join(mentions.select("mention_id", "coarse_hints", "fine_hints"), "mention_id")
-    allowed = lambda hints, c: (F.size(hints) == 0) | F.array_contains(hints, F.col(c))
-    scored = scored.where(allowed("coarse_hints", "coarse_type") & allowed("fine_hints", "fine_type"))
     order = Window.partitionBy("mention_id").orderBy(F.desc("score"), F.desc("prior"), "qid")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("mention_id", "qid", "score", "rank")
+    return both.select("mention_id", "qid", score.alias("score"), "prior").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("mention_id", "qid", "score", "rank")
 
 
 def rerank(candidates: DataFrame, *, k: int = TOP_K, weights: dict | None = None, exact_mode: bool = False) -> DataFrame:
@@ -85,10 +101,9 @@ def rerank(candidates: DataFrame, *, k: int = TOP_K, weights: dict | None = None
     terms, doc = F.col("context_terms"), F.array_distinct(X.tokenize(F.coalesce("context_string", F.lit(""))))
     context = F.when((F.size(terms) == 0) | (F.size(doc) == 0), 0.0).otherwise(F.size(F.array_intersect(doc, terms)) / F.size(terms))
     kind = F.when((F.size("fine_hints") > 0) & F.array_contains("fine_hints", F.col("fine_type")), 1.0).when((F.size("coarse_hints") > 0) & F.array_contains("coarse_hints", F.col("coarse_type")), 0.5).otherwise(0.0)
-    c = c.withColumn("_name", F.explode_outer(F.array_distinct(F.concat(F.array("label"), F.coalesce("labels", F.array().cast("array<string>")), F.coalesce("aliases", F.array().cast("array<string>"))))))
-    c = c.withColumn("_exact", F.coalesce(X.exact_name(F.col("_name")) == X.exact_name(F.col("mention")), F.lit(False)))
-    rest = [x for x in candidates.columns if x not in ("mention_id", "qid")]
-    c = c.groupBy("mention_id", "qid").agg(*[F.first(x).alias(x) for x in [*rest, "_lo", "_hi"]], F.bool_or("_exact").alias("exact_name_match"))
+    none = F.array().cast("array<string>")
+    names = F.array_distinct(F.concat(F.array("label"), F.coalesce("labels", none), F.coalesce("aliases", none)))
+    c = c.withColumn("exact_name_match", F.coalesce(F.array_contains(X.exact_names(names), X.exact_name(F.col("mention"))), F.lit(False)))
     name = F.when(F.col("exact_name_match"), 1.0).otherwise(spread) if exact_mode else spread
     prior = F.coalesce("prior", X.prior(F.coalesce("popularity", F.lit(0.0))))
     c = c.withColumns({"name_score": name, "context_score": context, "type_score": kind, "prior_score": prior})

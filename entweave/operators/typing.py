@@ -15,6 +15,14 @@ def let(value: Column, body) -> Column:
 
 
 def _ranked(lowered: Column, tokens: Column) -> Column:
+    # of a long text few tokens are clues: these are found in one pass, the rules then look at them only
+    return let(F.array_intersect(words_array(ALL_CLUES), tokens), lambda found: _scored(lowered, found))
+
+
+ALL_CLUES = sorted({w for _, _, _, clues, _ in TYPING_RULES for w in clues})
+
+
+def _scored(lowered: Column, tokens: Column) -> Column:
     rules = []
     for coarse, fine, least, clues, phrases in TYPING_RULES:
         score = F.size(F.array_intersect(tokens, words_array(clues)))

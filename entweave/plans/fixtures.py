@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import prior
 from ..operators.graph import best_edges, prune, score_edges, subject_profiles
+from ..scratch import written
 
 OFFSETS = {"region": 1_000_000, "nation": 2_000_000, "supplier": 3_000_000, "customer": 4_000_000, "part": 5_000_000}
 
@@ -44,6 +45,11 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("prior", prior("popularity"))
 
 
+def entity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities as a table: a query that reads them several times builds them once."""
+    return written(entities(spark, sf_dir), "entities")
+
+
 E_SQL = """
 refs AS (
   SELECT 'region' AS kind, n_regionkey AS k, count(*) AS n FROM nation GROUP BY 2

@@ -16,7 +16,7 @@ CAND = "WITH" + fx.CAND_SQL
 
 @query(CAND + " SELECT mention_id, qid, score, rank FROM cand")
 def r1_fuzzy_candidates(spark, sf_dir):
-    return K.fuzzy_candidates(K.prepare(fx.mentions(spark, sf_dir)), fx.entities(spark, sf_dir)).select("mention_id", "qid", F.round("score", 4).alias("score"), "rank")
+    return K.fuzzy_candidates(K.prepare(fx.mentions(spark, sf_dir)), fx.entity_table(spark, sf_dir)).select("mention_id", "qid", F.round("score", 4).alias("score"), "rank")
 
 
 @query("WITH" + fx.E_SQL + ", m(mention) AS (VALUES ('sm_ll%'), ('1'), ('%%'), ('a'), ('STEEL')) SELECT mention, count(DISTINCT lower(label)) AS names FROM m JOIN e ON label ILIKE '%' || mention || '%' GROUP BY 1")
@@ -58,21 +58,21 @@ CTX = ",\n" + fx.SCORED_SQL + ",\nlab AS (SELECT s, label, min(o) AS o FROM trip
 @query(CAND + CTX + RERANK)
 def r5_lookup_batch(spark, sf_dir):
     """The flagship: candidates, context after the cut, weighted reranking, for a whole batch of mentions."""
-    e = fx.entities(spark, sf_dir)
+    e = fx.entity_table(spark, sf_dir)
     r = K.lookup(e, fx.triples(spark, sf_dir, e), fx.mentions(spark, sf_dir))
     return r.select("mention_id", "qid", F.round("name_score", 6).alias("name_score"), F.round("context_score", 6).alias("context_score"), "type_score", "exact_name_match", F.round("final_score", 6).alias("final_score"), "final_rank")
 
 
 @query(CAND + CTX + RERANK.replace("final AS (", "final0 AS (").replace("FROM final\n", "FROM final0\n").split("SELECT mention_id, qid, round(name_score")[0] + " SELECT mention_id, arg_max(qid, rk) AS qid FROM (SELECT mention_id, qid, -row_number() OVER (PARTITION BY mention_id ORDER BY round(final_score, 9) DESC, exact_name_match DESC, prior DESC, qid) AS rk FROM final0) GROUP BY 1")
 def r4_top_one(spark, sf_dir):
-    e = fx.entities(spark, sf_dir)
+    e = fx.entity_table(spark, sf_dir)
     return K.top_one(K.lookup(e, fx.triples(spark, sf_dir, e), fx.mentions(spark, sf_dir))).select("mention_id", "qid")
 
 
 @query(CAND + CTX + " SELECT DISTINCT qid, coalesce(context_string, '') AS context_string FROM cand LEFT JOIN ctx USING (qid)")
 def r3_context_attach(spark, sf_dir):
     """Context only of entities that some mention was cut to."""
-    e = fx.entities(spark, sf_dir)
+    e = fx.entity_table(spark, sf_dir)
     best = K.fuzzy_candidates(K.prepare(fx.mentions(spark, sf_dir)), e).select("qid").distinct()
     near = fx.triples(spark, sf_dir, e).join(best.select(F.col("qid").alias("subject_qid")), "subject_qid", "left_semi")
     return best.join(G.context_strings(near, e.select("qid", "label")), "qid", "left").select("qid", F.coalesce("context_string", F.lit("")).alias("context_string"))

@@ -20,16 +20,27 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def parse(lines: DataFrame, *, strict: bool = True) -> DataFrame:
-    """lines(value) -> raw entities.  Blank lines and array brackets are passed over, trailing commas cut, non-objects
-    skipped; with strict, a line that is no JSON ends the job with the line in the message."""
-    v = F.regexp_replace(F.trim("value"), r",\s*$", "")
-    body = lines.select(v.alias("v")).where(~F.col("v").isin("", "[", "]"))
+def cleaned_line(value) -> Column:
+    """A dump line without its trailing comma; null for blank lines and array brackets."""
+    v = F.trim(F.regexp_replace(F.trim(value), r",$", ""))
+    return F.when(~F.trim(value).isin("", "[", "]") & (v != ""), v)
+
+
+def parse(lines: DataFrame, *, strict: bool = True, limit: int | None = None) -> DataFrame:
+    """lines(value, and file and line_no if numbered) -> raw entities.  Blank lines and array brackets are passed over, trailing
+    commas cut, non-objects skipped; with strict, a line that is no JSON ends the job with its number and text in the
+    message.  limit counts objects in the order of numbered lines."""
+    numbered = {"file", "line_no"} <= set(lines.columns)
+    order = ["file", "line_no"] if numbered else []
+    body = lines.select(*order, cleaned_line(F.col("value")).alias("v")).where("v is not null")
     if strict:
-        broken = F.raise_error(F.concat(F.lit("no JSON: "), F.substring("v", 1, 200))).cast("string")
-        body = body.select(F.when(~F.col("v").isin("", "[", "]") & F.expr("try_parse_json(v)").isNull(), broken).otherwise(F.col("v")).alias("v"))
+        where = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(" of "), F.col("file"), F.lit(": ")) if numbered else F.lit("")
+        broken = F.raise_error(F.concat(F.lit("no JSON: "), where, F.substring("v", 1, 200))).cast("string")
+        body = body.select(*order, F.when(F.col("v").isNotNull() & F.expr("try_parse_json(v)").isNull(), broken).otherwise(F.col("v")).alias("v"))
     objects = body.where(F.col("v").startswith("{"))
-    return objects.select(F.from_json("v", RAW).alias("e")).select("e.*").where(F.col("id").rlike("^[QP]"))
+    if limit is not None:
+        objects = objects.orderBy(*order).limit(limit)
+    return objects.select(*order, F.from_json("v", RAW).alias("e")).select(*order, "e.*").where(F.col("id").rlike("^[QP]"))
 
 
 def value_map(c) -> Column:
@@ -52,10 +63,24 @@ def pick_languages(m: Column, languages: list[str], *, fallback: bool = True) ->
     return F.when(F.size(chosen) > 0, chosen).otherwise(F.map_filter(m, lambda k, _: k == first)) if fallback else chosen
 
 
+def pick_alias_languages(m: Column, languages: list[str], cap: int, *, fallback: bool = False) -> Column:
+    """Of the allow-listed languages the first `cap` distinct aliases each; if there are none, with fallback, those of the
+    alphabetically first language that has any."""
+    if cap <= 0:
+        return F.map_filter(m, lambda k, v: F.lit(False))
+    tidy = F.transform_values(m, lambda _, v: F.slice(F.array_distinct(F.filter(F.transform(v, lambda x: F.coalesce(normalize(x), F.lit(""))), lambda x: x != "")), 1, cap))
+    return pick_languages(F.map_filter(tidy, lambda _, v: F.size(v) > 0), languages, fallback=fallback)
+
+
 def primary_label(labels: Column) -> Column:
     return F.coalesce(labels["en"], labels["mul"], F.element_at(labels, F.array_min(F.map_keys(labels))))
 
 
+def label_in(labels: Column, language: str) -> Column:
+    """The label in a language, else the primary one."""
+    return F.coalesce(labels[language], primary_label(labels))
+
+
 def _by_language(m: Column) -> Column:
     """Entries in the order en, mul, then by name."""
     order = lambda k: F.when(k == "en", 0).when(k == "mul", 1).otherwise(2)
@@ -182,6 +207,28 @@ def _sorted_values(m: Column) -> Column:
     return F.transform(F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))), lambda e: e["v"])
 
 
+def override_types(entities: DataFrame, types: DataFrame) -> DataFrame:
+    """Coarse and fine type from a type map(id, coarse_types, fine_types), where it names one that isn't blank."""
+    first = lambda c: F.nullif(F.trim(normalize(F.get(c, F.lit(0)))), F.lit(""))
+    t = types.select(F.col("id").alias("qid"), first(F.col("coarse_types")).alias("_coarse"), first(F.col("fine_types")).alias("_fine"))
+    j = entities.join(t, "qid", "left")
+    return j.withColumns({"coarse_type": F.coalesce("_coarse", "coarse_type"), "fine_type": F.coalesce("_fine", "fine_type")}).drop("_coarse", "_fine")
+
+
+def typing_report(raw: DataFrame, languages: list[str], alias_cap: int) -> DataFrame:
+    """qid, labels, aliases, descriptions, item_category, coarse_types, fine_types, ner_type_source of entities, judged by the
+    chosen languages."""
+    labels = value_map(F.col("labels"))
+    chosen = raw.select("id", "type", pick_languages(labels, languages).alias("l"), pick_alias_languages(alias_map(F.col("aliases"), labels), languages, alias_cap).alias("a"), pick_languages(value_map(F.col("descriptions")), languages).alias("d"), F.coalesce("claims", F.create_map().cast("map<string,array<struct<rank:string,mainsnak:struct<snaktype:string,datavalue:struct<value:string>>>>>")).alias("claims"))
+    p31 = claim_ids(F.col("claims"), "P31", 32)
+    english = F.col("l")["en"].isNotNull() | F.col("d")["en"].isNotNull() | F.col("a")["en"].isNotNull()
+    one = F.concat(F.array(F.col("d")["en"], F.col("l")["en"]), F.coalesce(F.col("a")["en"], F.array().cast("array<string>")))
+    every = F.concat(_sorted_values(F.col("d")), _sorted_values(F.col("l")), F.flatten(_sorted_values(F.col("a"))))
+    t = typed(F.col("id"), p31, F.array_compact(F.when(english, one).otherwise(every)))
+    out = chosen.withColumn("t", t)
+    return out.select(F.col("id").alias("qid"), F.col("l").alias("labels"), F.col("a").alias("aliases"), F.col("d").alias("descriptions"), item_category(F.col("id"), F.col("type"), F.col("claims")).alias("item_category"), F.col("t.coarse").alias("coarse_types"), F.col("t.fine").alias("fine_types"), F.col("t.source").alias("ner_type_source"))
+
+
 def edges(raw: DataFrame) -> DataFrame:
     """subject_qid, predicate_pid, object_qid, rank of every entity-valued statement."""
     per = raw.select(F.col("id").alias("subject_qid"), F.explode("claims").alias("predicate_pid", "s")).where(F.col("predicate_pid").startswith("P"))
