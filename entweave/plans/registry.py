@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import ingest_queries, lookup_queries, store_queries, table_queries, text_queries  # noqa: E402,F401
+from . import file_queries, ingest_queries, lookup_queries, store_queries, table_queries, text_queries  # noqa: E402,F401
