@@ -115,3 +115,13 @@ COUNTRIES = sorted(
 )
 WATER_HINTS = sorted("basin strait bay gulf river ocean sea lake".split())
 POLYSEMOUS = sorted("gaga viper victoria houston obsession savannah gauge".split())
+
+#: labels that schemas from outside may use, and what stands for them
+ITEM_CATEGORIES = sorted("SENSE FORM LEXEME MEDIAINFO PREDICATE TYPE DISAMBIGUATION OTHER ENTITY".split())
+COARSE_TYPES = sorted("RELATION THING MISC EVENT WORK PRODUCT LOCATION PERSON ORGANIZATION BIOLOGICAL_TAXON".split())
+FINE_TYPES = sorted({fine for _, fine, *_ in TYPING_RULES} - set("LAW ANATOMY LANGUAGE SCIENTIFIC_THEORY".split()) | set("MISC PERSON PROPERTY HUMAN COSMOLOGICAL_ENTITY".split()))
+_WATER_LABELS = "BODY_OF_WATER LAKE RIVER SEA WATERBODY MOUNTAIN"
+_PLACE_LABELS = "GEOGRAPHICALFEATURE GEOGRAPHICFEATURE PLACE"
+ITEM_SYNONYMS = dict.fromkeys([*_PLACE_LABELS.split(), "LOCATION"], "ENTITY")
+COARSE_SYNONYMS = dict.fromkeys([*_PLACE_LABELS.split(), *_WATER_LABELS.split()], "LOCATION")
+FINE_SYNONYMS = dict.fromkeys([*_WATER_LABELS.split(), *"STRAIT GULF OCEAN BAY MONUMENT ISLAND BUILDING BRIDGE AIRPORT".split()], "LANDMARK") | {"PERSON": "HUMAN"}

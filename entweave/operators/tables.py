@@ -146,7 +146,7 @@ def roles(stats: DataFrame) -> DataFrame:
         .when(F.col("numeric_ratio") >= 0.7, r(measure, 0.74))
         .when(F.col("text_blob_ratio") >= 0.4, r("DESCRIPTION_TEXT", 0.84)).otherwise(text)
     )
-    generic = r("UNKNOWN", 0.0)
+    generic = r("UNKNOWN", 0.3)
     s = s.withColumn("r", F.when(F.col("family") == "BIOGRAPHY", biography).when(F.col("family") == "GEOGRAPHY", geography).otherwise(generic))
     return s.select("table_id", "col_id", "family", "confidence", "r.role", "r.role_confidence")
 
@@ -163,14 +163,23 @@ def cell_contexts(cells: DataFrame, targets: DataFrame) -> DataFrame:
     top = first.withColumn("r", F.row_number().over(Window.partitionBy("table_id", "col_id").orderBy("at"))).where("r <= 6")
     samples = top.groupBy("table_id", "col_id").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("s"))
     head = cells.where("row_id = 0").select("table_id", "col_id", F.trim("value").alias("column_name"))
-    c = wanted.join(rows, ["table_id", "row_id"]).join(samples, ["table_id", "col_id"], "left").join(head, ["table_id", "col_id"], "left")
+    heads = head.groupBy("table_id").agg(F.map_from_entries(F.collect_list(F.struct("col_id", F.coalesce("column_name", F.lit(""))))).alias("header"))
+    c = wanted.join(heads, "table_id", "left").join(rows, ["table_id", "row_id"]).join(samples, ["table_id", "col_id"], "left").join(head, ["table_id", "col_id"], "left")
     col = F.col("col_id")
     mention = F.get(F.transform(F.filter("row", lambda x: x["col_id"] == col), lambda x: x["v"]), F.lit(0))
     c = c.withColumn("mention", mention)
     others = F.transform(F.filter("row", lambda x: (x["col_id"] != col) & (x["v"] != "")), lambda x: x["v"])
     near = F.slice(F.filter(F.coalesce(F.col("s.v"), F.array().cast("array<string>")), lambda x: x != F.col("mention")), 1, 5)
     c = c.withColumns({"row_values": F.col("row.v"), "other_row_values": others, "column_samples": near})
-    return c.select("table_id", "row_id", "col_id", "column_name", "mention", "row_values", "other_row_values", "column_samples", F.array_distinct(F.concat("other_row_values", "column_samples")).alias("mention_context"))
+    c = c.withColumn("related_cells", related_cells())
+    return c.select("table_id", "row_id", "col_id", "column_name", "mention", "related_cells", "row_values", "other_row_values", "column_samples", F.array_distinct(F.concat("other_row_values", "column_samples")).alias("mention_context"))
+
+
+def related_cells() -> Column:
+    """The other cells of the row that aren't blank, with the names of their columns."""
+    others = F.filter("row", lambda x: (x["col_id"] != F.col("col_id")) & (x["v"] != ""))
+    name = lambda i: F.coalesce(F.col("header")[i], F.concat(F.lit("col"), i.cast("string")))
+    return F.transform(others, lambda x: F.struct(name(x["col_id"]).alias("column_name"), x["v"].alias("cell_value"), F.lit("same_row_context").alias("relation"), F.lit(0.6).alias("confidence")))
 
 
 def mention_strength(mention: Column) -> Column:
@@ -216,9 +225,34 @@ def uncertainty(confidence: Column, role: Column, role_confidence: Column, stren
     ))
 
 
+def _variant(text: Column, confidence, weight, source: str) -> Column:
+    lit = lambda v: F.lit(v) if isinstance(v, float) else v
+    return F.struct(text.alias("text"), lit(confidence).alias("confidence"), lit(weight).alias("weight"), F.lit(source).alias("source"))
+
+
+def query_variants() -> Column:
+    """The cleaned mention, the mention as it is, the cleaned one without dots; each text once, later ones weigh less."""
+    surface, mention = X.mention_surface("mention"), F.trim("mention")
+    texts = F.array_distinct(F.filter(F.transform(F.array(surface, mention, F.replace(surface, F.lit("."), F.lit(""))), lambda t: F.trim(t)), lambda t: t != ""))
+
+    def one(t, i):
+        own = t == mention
+        return _variant(t, F.when(i == 0, 1.0).when(own, 0.8).otherwise(0.7), F.when(i == 0, 1.0).when(own, 0.7).otherwise(F.round(F.greatest(F.lit(0.45), 0.7 - i * 0.1), 4)), "seed")
+
+    return F.transform(texts, one)
+
+
+def hypothesis_plan(hypotheses: Column) -> Column:
+    """Hypotheses in their order: the first filters, the others only guide."""
+    return F.transform(hypotheses, lambda h, i: F.struct((i + 1).cast("int").alias("rank"), h["item_category"].alias("item_category"), h["coarse_type"].alias("coarse_type"), h["fine_type"].alias("fine_type"), h["confidence"].alias("confidence"), F.when(i == 0, "hard").otherwise("soft").alias("retrieval_mode"), h["source"].alias("source")))
+
+
+BACKOFF = ["primary", "relax_fine_type", "alternate_hypothesis", "no_type_context_only", "item_category_only"]
+
+
 def seed_schema(contexts: DataFrame, roles_: DataFrame) -> DataFrame:
-    """One schema per cell: hypotheses, uncertainty, hard filters, weighted context terms, query variants."""
-    c = contexts.join(roles_, ["table_id", "col_id"], "left").na.fill({"family": "GENERIC_ENTITY_TABLE", "confidence": 0.45, "role": "UNKNOWN", "role_confidence": 0.0})
+    """One schema per cell: hypotheses, uncertainty, hard filters, weighted context terms, query variants, plans."""
+    c = contexts.join(roles_, ["table_id", "col_id"], "left").na.fill({"family": "GENERIC_ENTITY_TABLE", "confidence": 0.0, "role": "UNKNOWN", "role_confidence": 0.0})
     c = c.withColumn("m", mention_strength(F.col("mention"))).withColumns({"strength": F.col("m.strength"), "weakness": F.col("m.reasons"), "canonical": F.coalesce(F.nullif(X.mention_surface("mention"), F.lit("")), F.trim("mention"))})
     c = c.withColumns({"hypotheses": hypotheses(F.col("family"), F.col("role"), F.col("strength"), F.col("mention")), "uncertain": uncertainty(F.col("confidence"), F.col("role"), F.col("role_confidence"), F.col("strength")), "soft": soft_terms()})
     top = F.col("hypotheses")[0]
@@ -231,31 +265,77 @@ def seed_schema(contexts: DataFrame, roles_: DataFrame) -> DataFrame:
         "item_filters": F.when(some, F.array(top["item_category"])).otherwise(none),
         "coarse_hints": F.when(typed, F.array(top["coarse_type"])).otherwise(none),
         "fine_hints": F.when(typed, F.array(top["fine_type"])).otherwise(none),
-        "variants": F.array_distinct(F.array("canonical", F.trim("mention"), F.replace("canonical", F.lit("."), F.lit("")))),
+        "variants": query_variants(), "plan": hypothesis_plan(F.col("hypotheses")), "backoff": X.words_array(BACKOFF),
+        "numeric_hints": F.array_distinct(F.filter("other_row_values", lambda v: v.rlike(r"\d"))),
+        "temporal_hints": F.array_distinct(F.filter("other_row_values", lambda v: v.rlike(r"\b\d{4}([-/]\d{1,2}([-/]\d{1,2})?)?\b"))),
     })
-    # water names: a query for the lake first
-    lake = F.concat(F.lit("Lake "), F.col("canonical"))
-    water = (F.col("role") == "BODY_OF_WATER_NAME") & ~F.lower("canonical").startswith("lake ")
-    c = c.withColumn("variants", F.when(water, F.array_distinct(F.concat(F.array(lake), F.col("variants")))).otherwise(F.col("variants")))
     return c.drop("m")
 
 
-def payload(schema: DataFrame) -> DataFrame:
-    """mention of the first variant, the heaviest context terms (at least 0.3, twelve at most) and hints."""
-    order = F.array_sort(F.transform(F.filter("soft", lambda x: x["weight"] >= 0.3), lambda x, i: F.struct((-x["weight"]).alias("w"), i.alias("i"), x["value"].alias("v"))))
-    return schema.withColumns({"lookup_mention": F.col("variants")[0], "lookup_context": F.slice(F.transform(order, lambda x: x["v"]), 1, 12)})
+_WATERS = ["bay", "gulf", "lake", "ocean", "river", "sea", "strait"]
+
+
+def water_policy(schema: DataFrame) -> DataFrame:
+    """Names of waters: forced to landmarks, asked for as a lake first, with three more context terms."""
+    water = F.col("role") == "BODY_OF_WATER_NAME"
+    landmark = lambda h: (h["coarse_type"] == "LOCATION") & (h["fine_type"] == "LANDMARK")
+    first = F.struct(F.lit("ENTITY").alias("item_category"), F.lit("LOCATION").alias("coarse_type"), F.lit("LANDMARK").alias("fine_type"), F.lit(0.92).alias("confidence"), F.lit("table_profile_policy").alias("source"))
+    hypotheses_ = F.slice(F.concat(F.array(first), F.filter("hypotheses", lambda h: ~landmark(h))), 1, 3)
+    canonical = F.col("canonical")
+    lake = F.concat(F.lit("Lake "), canonical)
+    named = F.arrays_overlap(F.split(F.lower(canonical), r"\s+"), X.words_array(_WATERS)) | (canonical == "")
+    known = F.exists("variants", lambda v: X.casefold(v["text"]) == X.casefold(lake))
+    variants = F.when(named | known, F.col("variants")).otherwise(F.concat(F.array(_variant(lake, 0.92, 0.96, "table_profile_policy")), F.col("variants")))
+    said = F.transform("soft", lambda s: X.casefold(s["value"]))
+    terms = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(0.9).alias("confidence"), F.lit(w).alias("weight"), F.lit("table_profile_policy").alias("source")) for v, w in (("lake", 0.85), ("body of water", 0.75), ("freshwater lake", 0.7))])
+    soft = F.concat("soft", F.filter(terms, lambda t: ~F.array_contains(said, t["value"])))
+    forced = {"item_filters": ["ENTITY"], "coarse_hints": ["LOCATION"], "fine_hints": ["LANDMARK"]}
+    changed = {"hypotheses": hypotheses_, "variants": variants, "soft": soft, "plan": hypothesis_plan(F.array(first)), **{k: X.words_array(v) for k, v in forced.items()}}
+    return schema.withColumns({k: F.when(water, v).otherwise(F.col(k)) for k, v in changed.items()})
+
+
+def uncertainty_policy(schema: DataFrame) -> DataFrame:
+    """Where the schema is uncertain types guide and don't filter; the item category stays if there was any filter."""
+    unsure = F.size("uncertain") > 0
+    none = F.array().cast("array<string>")
+    any_filter = F.size(F.concat("item_filters", "coarse_hints", "fine_hints")) > 0
+    item = F.when(any_filter & (F.size("item_filters") == 0), X.words_array(["ENTITY"])).otherwise(F.col("item_filters"))
+    soft_plan = F.transform("plan", lambda h: h.withField("retrieval_mode", F.lit("soft")))
+    changed = {"item_filters": item, "coarse_hints": none, "fine_hints": none, "plan": soft_plan}
+    return schema.withColumns({k: F.when(unsure, v).otherwise(F.col(k)) for k, v in changed.items()})
+
+
+def finished(schema: DataFrame) -> DataFrame:
+    return uncertainty_policy(water_policy(schema))
+
+
+def payload(schema: DataFrame, *, max_terms: int = 12) -> DataFrame:
+    """The heaviest variant (the first of equals) as the mention, the heaviest context terms (at least 0.3, twelve at most)."""
+    best = F.array_max(F.transform("variants", lambda v, i: F.struct(v["weight"].alias("w"), (-i).alias("i"), v["text"].alias("t"))))["t"]
+    order = F.slice(F.array_sort(F.transform("soft", lambda x, i: F.struct((-x["weight"]).alias("w"), i.alias("i"), x["value"].alias("v")))), 1, max_terms)
+    terms = F.array_distinct(F.transform(F.filter(order, lambda x: x["w"] <= -0.3), lambda x: x["v"]))
+    return schema.withColumns({"lookup_mention": F.coalesce(best, F.col("canonical")), "lookup_context": F.when(F.size(terms) > 0, terms).otherwise(F.col("mention_context"))})
 
 
-def payload_stages(schema: DataFrame) -> DataFrame:
-    """The backoff stages of every cell, one row each; a stage whose filters another stage already had is dropped."""
+def payload_stages(schema: DataFrame, *, max_variants: int = 5) -> DataFrame:
+    """The requests of every cell, one row each, in the order in which they are tried: primary, each hypothesis with and
+    without its fine type, without types, by item category.  A request whose filters an earlier one had is dropped."""
     none = F.array().cast("array<string>")
-    stage = lambda n, name, item, coarse, fine: F.struct(F.lit(n).alias("stage_no"), F.lit(name).alias("stage"), item.alias("item"), coarse.alias("coarse"), fine.alias("fine"))
-    other = F.get("hypotheses", F.lit(1))
-    alternate = F.when(other.isNotNull(), F.array(other["coarse_type"])).otherwise(none)
-    stages = F.array(
-        stage(1, "primary", F.col("item_filters"), F.col("coarse_hints"), F.col("fine_hints")), stage(2, "relax_fine_type", F.col("item_filters"), F.col("coarse_hints"), none),
-        stage(3, "alternate_hypothesis", F.col("item_filters"), alternate, none), stage(4, "no_type_context_only", F.col("item_filters"), none, none), stage(5, "item_category_only", F.col("item_filters"), none, none),
-    )
-    same = F.transform(stages, lambda s: F.concat_ws("|", F.concat_ws(",", s["item"]), F.concat_ws(",", s["coarse"]), F.concat_ws(",", s["fine"])))
-    kept = F.filter(F.arrays_zip(stages.alias("s"), same.alias("sig")), lambda x, i: F.array_position(same, x["sig"]) == i + 1)
-    return schema.select("table_id", "row_id", "col_id", F.explode(F.transform(kept, lambda x: x["s"])).alias("s")).select("table_id", "row_id", "col_id", "s.*")
+    stage = lambda name, rank, relaxed, item, coarse, fine: F.struct(name.alias("stage"), rank.cast("int").alias("hypothesis_rank"), relaxed.alias("relaxed"), item.alias("item"), coarse.alias("coarse"), fine.alias("fine"))
+    own = F.col("item_filters")
+    primary = F.array(stage(F.lit("primary"), F.lit(1), F.lit(False), own, F.col("coarse_hints"), F.col("fine_hints")))
+
+    def both(h):
+        name = F.concat(F.lit("hypothesis_"), h["rank"].cast("string"))
+        fine = F.when(h["fine_type"].isin("", "MISC"), none).otherwise(F.array(h["fine_type"]))
+        item, coarse = F.array(h["item_category"]), F.array(h["coarse_type"])
+        return F.array(stage(name, h["rank"], h["retrieval_mode"] != "hard", item, coarse, fine), stage(F.concat(name, F.lit("_relax_fine")), h["rank"], F.lit(True), item, coarse, none))
+
+    null = F.lit(None)
+    open_ = F.when((F.col("strength") == "weak") | F.col("family").isin("BIOGRAPHY", "GENERIC_ENTITY_TABLE"), F.array(stage(F.lit("no_type_context_only"), null, F.lit(True), own, none, none)))
+    by_item = F.when(F.size("item_filters") > 0, F.array(stage(F.lit("item_category_only"), null, F.lit(True), own, none, none)))
+    parts = F.concat(primary, F.flatten(F.transform(F.slice("plan", 1, max_variants), both)), F.coalesce(open_, F.slice(primary, 1, 0)), F.coalesce(by_item, F.slice(primary, 1, 0)))
+    s = schema.withColumn("_s", parts)
+    s = s.withColumn("_g", F.transform("_s", lambda x: F.concat_ws("|", F.concat_ws(",", x["item"]), F.concat_ws(",", x["coarse"]), F.concat_ws(",", x["fine"]))))
+    kept = F.filter("_s", lambda x, i: F.array_position(F.col("_g"), F.get("_g", i)) == i + 1)
+    return s.select("table_id", "row_id", "col_id", F.posexplode(kept).alias("stage_no", "s")).select("table_id", "row_id", "col_id", (F.col("stage_no") + 1).alias("stage_no"), "s.*")

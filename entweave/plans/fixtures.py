@@ -179,14 +179,29 @@ cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORD
 )
 
 
+#: table -> (source, key, columns); a column is its SQL, which Spark and the checks read alike
+TABLES = {
+    "nation": ("nation", "n_nationkey", {"n_name": "n_name", "n_regionkey": "n_regionkey"}),
+    "customer": ("customer", "c_custkey", {c: c for c in ("c_name", "c_mktsegment", "c_acctbal", "c_nationkey")}),
+    "supplier": ("supplier", "s_suppkey", {c: c for c in ("s_name", "s_acctbal")}),
+    "part": ("part", "p_partkey", {c: c for c in ("p_name", "p_brand", "p_type", "p_size", "p_retailprice")}),
+    "people": ("supplier", "s_suppkey", {
+        "name": "concat('Ada Byron', s_suppkey)", "born": "concat('195', s_suppkey % 10, '-0', s_nationkey % 9 + 1)", "col2": "CASE s_suppkey % 3 WHEN 0 THEN 'Oslo' WHEN 1 THEN 'Quito (old)' ELSE 'Lima' END",
+        "country": "CASE s_nationkey % 3 WHEN 0 THEN 'France' WHEN 1 THEN 'Japan' ELSE 'Brazil' END",
+    }),
+    "lakes": ("nation", "n_nationkey", {
+        "name": "CASE n_nationkey % 3 WHEN 0 THEN concat('Lake Alpha', n_nationkey) WHEN 1 THEN concat('Blue', n_nationkey, '.') ELSE concat('Sea Gamma', n_nationkey) END", "country": "CASE n_regionkey % 2 WHEN 0 THEN 'Iran' ELSE 'Canada' END",
+        "area": "concat(n_nationkey + 10, ' km2')", "depth": "concat(3 * n_nationkey + 5, ' ft')", "note": "CASE n_nationkey % 2 WHEN 0 THEN '' ELSE 'x' END",
+    }),
+}
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nation, customer, supplier and part as long tables: table_id, row_id (0: header), col_id, value."""
+    """The tables as long rows: table_id, row_id (0: header), col_id, value."""
     out = None
-    for name, columns in {"nation": ["n_name", "n_regionkey"], "customer": ["c_name", "c_mktsegment", "c_acctbal", "c_nationkey"], "supplier": ["s_name", "s_acctbal"], "part": ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]}.items():
-        df = load(spark, sf_dir, name)
-        key = df.columns[0]
-        values = F.array(*[F.col(c).cast("string") for c in columns])
-        rows = df.select(F.lit(name).alias("table_id"), (F.col(key) + 1).cast("long").alias("row_id"), F.posexplode(values).alias("col_id", "value"))
+    for name, (source, key, columns) in TABLES.items():
+        values = F.array(*[F.expr(f"cast({c} as string)") for c in columns.values()])
+        rows = load(spark, sf_dir, source).select(F.lit(name).alias("table_id"), (F.col(key) + 1).cast("long").alias("row_id"), F.posexplode(values).alias("col_id", "value"))
         head = spark.range(1).select(F.lit(name).alias("table_id"), F.lit(0).cast("long").alias("row_id"), F.posexplode(F.array(*[F.lit(c) for c in columns])).alias("col_id", "value"))
         both = rows.unionByName(head)
         out = both if out is None else out.unionByName(both)
@@ -195,9 +210,9 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cells_sql() -> str:
     parts = []
-    for name, key, columns in [("nation", "n_nationkey", ["n_name", "n_regionkey"]), ("customer", "c_custkey", ["c_name", "c_mktsegment", "c_acctbal", "c_nationkey"]), ("supplier", "s_suppkey", ["s_name", "s_acctbal"]), ("part", "p_partkey", ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"])]:
-        for i, c in enumerate(columns):
-            parts.append(f"SELECT '{name}' AS table_id, {key} + 1 AS row_id, {i} AS col_id, CAST({c} AS VARCHAR) AS value FROM {name}")
+    for name, (source, key, columns) in TABLES.items():
+        for i, (c, value) in enumerate(columns.items()):
+            parts.append(f"SELECT '{name}' AS table_id, {key} + 1 AS row_id, {i} AS col_id, CAST({value} AS VARCHAR) AS value FROM {source}")
             parts.append(f"SELECT '{name}', 0, {i}, '{c}'")
     return "\ncells AS (" + "\nUNION ALL ".join(parts) + ")"
 

@@ -19,11 +19,6 @@ from .registry import query
 CELLS = "WITH" + fx.CELLS_SQL
 
 
-@query(CELLS + " SELECT * FROM cells")
-def src12_cells(spark, sf_dir):
-    return fx.cells(spark, sf_dir).withColumn("row_id", F.col("row_id").cast("long"))
-
-
 @query("SELECT n_name AS table_id, n_nationkey AS row_id, n_regionkey AS col_id FROM nation WHERE n_nationkey % 4 <> 0")
 def src13_targets(spark, sf_dir):
     n = fx.load(spark, sf_dir, "nation")
@@ -62,17 +57,42 @@ def tp2_column_stats(spark, sf_dir):
     return s.select("table_id", F.col("col_id").cast("int").alias("col_id"), "non_empty_ratio", "unique_ratio", "date_ratio", "numeric_ratio", "person_name_ratio", "location_like_ratio", "entity_like_ratio")
 
 
-@query(CELLS + STATS + """, fam AS (SELECT table_id, count(*) FILTER (WHERE date_ratio >= 0.65) AS dates, count(*) FILTER (WHERE location_like_ratio >= 0.65 AND numeric_ratio < 0.45) AS places,
-  bool_or(col_id = 0 AND entity_like_ratio >= 0.85 AND numeric_ratio < 0.2) AS named, bool_or(col_id = 0 AND person_name_ratio >= 0.45) AS people FROM st GROUP BY 1)
-SELECT table_id, CASE WHEN named AND dates > 0 AND places >= 2 THEN 'BIOGRAPHY' WHEN people AND dates > 0 THEN 'BIOGRAPHY' ELSE 'GENERIC_ENTITY_TABLE' END AS family,
-  CASE WHEN named AND dates > 0 AND places >= 2 THEN 0.78 + people::INT * 0.08 WHEN people AND dates > 0 THEN 0.64 ELSE 0.45 END AS confidence FROM fam""")
+FAMILIES = f""",
+sm AS (SELECT table_id, col_id, list(v ORDER BY f)[1:6] AS samples FROM (SELECT table_id, col_id, v, min(row_id) AS f FROM d WHERE v <> '' GROUP BY 1, 2, 3) GROUP BY 1, 2),
+more AS (SELECT table_id, col_id, round(avg((length(v) >= 60 AND length(regexp_replace(v, '[^ ]', '', 'g')) >= 8)::INT), 4) AS text_blob_ratio,
+  round(avg((len(list_filter(regexp_extract_all(lower(v), '[a-z]+'), lambda t: t IN ({", ".join(repr(w) for w in L.WATER_HINTS)}))) > 0)::INT), 4) AS body_of_water_ratio FROM d WHERE v <> '' GROUP BY 1, 2),
+names AS (SELECT *, list_distinct(list_transform(samples, lambda x: lower(x))) AS ns FROM sm),
+cs AS (SELECT *, len(list_filter(ns, lambda x: x IN ({COUNTRIES}))) >= greatest(1, least(3, len(ns) // 2)) OR (location_like_ratio >= 0.85 AND unique_ratio <= 0.8 AND person_name_ratio < 0.3) AS country_like
+  FROM st JOIN more USING (table_id, col_id) JOIN names USING (table_id, col_id)),
+fc AS (SELECT table_id, count(*) FILTER (WHERE date_ratio >= 0.65) AS dates, count(*) FILTER (WHERE location_like_ratio >= 0.65 AND numeric_ratio < 0.45) AS places,
+  count(*) FILTER (WHERE numeric_ratio >= 0.7 AND date_ratio < 0.4) AS measures, count(*) FILTER (WHERE text_blob_ratio >= 0.4) AS blobs, bool_or(col_id = 0 AND entity_like_ratio >= 0.85 AND numeric_ratio < 0.2) AS named,
+  bool_or(col_id = 0 AND person_name_ratio >= 0.45) AS people, bool_or(col_id = 0 AND body_of_water_ratio >= 0.3) AS water, min(col_id) FILTER (WHERE date_ratio >= 0.65) AS date_col FROM cs GROUP BY 1),
+fam AS (SELECT table_id, date_col, CASE WHEN named AND dates > 0 AND places >= 2 THEN 'BIOGRAPHY' WHEN water AND measures >= 2 THEN 'GEOGRAPHY' WHEN measures > 0 AND blobs > 0 AND places > 0 THEN 'GEOGRAPHY' WHEN people AND dates > 0 THEN 'BIOGRAPHY' ELSE 'GENERIC_ENTITY_TABLE' END AS family,
+  CASE WHEN named AND dates > 0 AND places >= 2 THEN least(0.92, 0.78 + people::INT * 0.08) WHEN water AND measures >= 2 THEN 0.84 WHEN measures > 0 AND blobs > 0 AND places > 0 THEN 0.68 WHEN people AND dates > 0 THEN 0.64 ELSE 0.45 END AS confidence FROM fc)"""
+
+
+@query(CELLS + STATS + FAMILIES + " SELECT table_id, family, CAST(confidence AS DOUBLE) AS confidence FROM fam")
 def tp4_families(spark, sf_dir):
     return T.families(T.column_stats(fx.cells(spark, sf_dir))).select("table_id", "family", "confidence")
 
 
-@query()
+ROLES = """,
+lv AS (SELECT cs.*, family, confidence, date_col, CASE WHEN numeric_ratio < 0.25 AND NOT country_like THEN CASE WHEN text_blob_ratio < 0.35 THEN 2 ELSE 1 END ELSE 0 END AS level FROM cs JOIN fam USING (table_id)),
+nc AS (SELECT *, coalesce(min(col_id) FILTER (WHERE numeric_ratio < 0.2 AND date_ratio < 0.2 AND entity_like_ratio >= 0.75 AND (date_col IS NULL OR col_id < date_col)) OVER (PARTITION BY table_id), 0) AS name_col, max(level) OVER (PARTITION BY table_id) AS top FROM lv),
+ft AS (SELECT table_id, arg_max(col_id, [body_of_water_ratio, entity_like_ratio - numeric_ratio - text_blob_ratio, -col_id]) AS feature_col FROM nc WHERE level = top GROUP BY 1),
+rl AS (SELECT *, lower(array_to_string(samples, ' ')) AS joined, len(list_filter(samples, lambda v: contains(v, ',') OR contains(v, '('))) > 0 AS comma FROM nc JOIN ft USING (table_id)),
+roles AS (SELECT table_id, col_id, family, CAST(confidence AS DOUBLE) AS confidence,
+  CASE family WHEN 'BIOGRAPHY' THEN CASE WHEN col_id = name_col AND entity_like_ratio >= 0.75 THEN 'PERSON_NAME_OR_ALIAS' WHEN col_id = date_col THEN 'BIRTH_DATE' WHEN country_like THEN 'COUNTRY' WHEN location_like_ratio >= 0.7 THEN CASE WHEN comma THEN 'BIRTH_REGION' ELSE 'BIRTH_CITY' END WHEN numeric_ratio >= 0.6 THEN 'NUMERIC_ATTRIBUTE' ELSE 'TEXT_ATTRIBUTE' END
+  WHEN 'GEOGRAPHY' THEN CASE WHEN col_id = feature_col AND entity_like_ratio >= 0.75 AND numeric_ratio < 0.25 THEN CASE WHEN body_of_water_ratio >= 0.2 THEN 'BODY_OF_WATER_NAME' ELSE 'GEOGRAPHIC_FEATURE_NAME' END WHEN country_like THEN 'COUNTRY'
+    WHEN numeric_ratio >= 0.7 THEN CASE WHEN contains(joined, 'km2') OR contains(joined, 'sq') THEN 'AREA_MEASURE' WHEN contains(joined, 'km3') OR contains(joined, 'cu') THEN 'VOLUME_MEASURE' WHEN contains(joined, 'ft') OR contains(joined, 'm') THEN 'DEPTH_MEASURE' WHEN contains(joined, 'length') THEN 'LENGTH_MEASURE' ELSE 'NUMERIC_MEASURE' END
+    WHEN text_blob_ratio >= 0.4 THEN 'DESCRIPTION_TEXT' ELSE 'TEXT_ATTRIBUTE' END ELSE 'UNKNOWN' END AS role,
+  CAST(CASE family WHEN 'BIOGRAPHY' THEN CASE WHEN col_id = name_col AND entity_like_ratio >= 0.75 THEN CASE WHEN person_name_ratio >= 0.5 THEN 0.9 ELSE 0.82 END WHEN col_id = date_col THEN 0.94 WHEN country_like THEN 0.86 WHEN location_like_ratio >= 0.7 THEN 0.78 WHEN numeric_ratio >= 0.6 THEN 0.6 ELSE 0.45 END
+  WHEN 'GEOGRAPHY' THEN CASE WHEN col_id = feature_col AND entity_like_ratio >= 0.75 AND numeric_ratio < 0.25 THEN 0.88 WHEN country_like THEN 0.82 WHEN numeric_ratio >= 0.7 THEN 0.74 WHEN text_blob_ratio >= 0.4 THEN 0.84 ELSE 0.45 END ELSE 0.3 END AS DOUBLE) AS role_confidence FROM rl)"""
+
+
+@query(CELLS + STATS + FAMILIES + ROLES + " SELECT table_id, col_id, family, confidence, role, role_confidence FROM roles")
 def tp5_roles(spark, sf_dir):
-    return T.roles(T.column_stats(fx.cells(spark, sf_dir)))
+    return T.roles(T.column_stats(fx.cells(spark, sf_dir))).withColumn("col_id", F.col("col_id").cast("int"))
 
 
 def targets(spark, sf_dir) -> DataFrame:
@@ -103,24 +123,76 @@ def pp5_mention_strength(spark, sf_dir):
     return m.select("mention", T.mention_strength(F.col("mention")).alias("m")).select("mention", "m.strength", F.array_join("m.reasons", ",").alias("reasons"))
 
 
+#: the seed schema of every target and, from it, what the policies make of it
+SEED = """,
+v AS (SELECT table_id, row_id, col_id, trim(value) AS v FROM cells WHERE row_id > 0),
+t AS (SELECT * FROM v WHERE col_id = 0 AND table_id <> 'customer'),
+hd AS (SELECT table_id, col_id, trim(value) AS h FROM cells WHERE row_id = 0),
+fs AS (SELECT table_id, v, min(row_id) AS first_at FROM v WHERE col_id = 0 AND v <> '' GROUP BY 1, 2), tp AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY first_at) AS r FROM fs),
+s6 AS (SELECT table_id, list(v ORDER BY first_at) AS l FROM tp WHERE r <= 6 GROUP BY 1),
+o AS (SELECT table_id, row_id, list(v ORDER BY col_id) AS other, list(h || '=' || v ORDER BY col_id) AS related FROM v JOIN hd USING (table_id, col_id) WHERE col_id > 0 AND v <> '' GROUP BY 1, 2),
+c0 AS (SELECT t.table_id, t.row_id, t.v AS mention, h AS header, coalesce(other, []) AS other, coalesce(related, []) AS related, list_filter(l, lambda x: x <> t.v)[1:5] AS samples,
+  trim(replace(regexp_replace(t.v, '\\[[^\\]]*\\]', '', 'g'), '*', ' '), ' .,:;!?-_') AS canonical FROM t LEFT JOIN o USING (table_id, row_id) JOIN s6 USING (table_id) JOIN hd ON hd.table_id = t.table_id AND hd.col_id = 0),
+c1 AS (SELECT c0.*, family, confidence, role, role_confidence, len(string_split(canonical, ' ')) AS w FROM c0 JOIN roles ON roles.table_id = c0.table_id AND roles.col_id = 0),
+c2 AS (SELECT *, CASE WHEN w > 1 AND length(canonical) > 10 THEN 'strong' WHEN w >= 2 THEN 'medium' WHEN w <= 1 OR length(canonical) <= 10 THEN 'weak' END AS strength FROM c1),
+c3 AS (SELECT *, CASE WHEN family = 'BIOGRAPHY' AND role = 'PERSON_NAME_OR_ALIAS' THEN [{'c': 'PERSON', 'f': 'HUMAN', 'p': CASE WHEN strength <> 'weak' THEN 0.9 ELSE 0.84 END}, {'c': 'WORK', 'f': 'FILM', 'p': 0.28}, {'c': 'LOCATION', 'f': 'CITY', 'p': 0.24}]
+  WHEN family = 'GEOGRAPHY' AND role IN ('BODY_OF_WATER_NAME', 'GEOGRAPHIC_FEATURE_NAME') THEN [{'c': 'LOCATION', 'f': 'LANDMARK', 'p': 0.9}, {'c': 'WORK', 'f': 'MUSIC_WORK', 'p': 0.18}]
+  WHEN w >= 2 THEN [{'c': 'PERSON', 'f': 'HUMAN', 'p': 0.62}, {'c': 'ORGANIZATION', 'f': 'COMPANY', 'p': 0.22}] ELSE [{'c': 'MISC', 'f': 'MISC', 'p': 0.42}, {'c': 'PERSON', 'f': 'HUMAN', 'p': 0.38}, {'c': 'LOCATION', 'f': 'CITY', 'p': 0.32}] END AS hyp,
+  list_filter([CASE WHEN confidence < 0.72 AND role_confidence < 0.86 THEN 'low_table_confidence' END, CASE WHEN role IN ('', 'UNKNOWN') THEN 'unknown_column_role' END, CASE WHEN role_confidence < 0.72 THEN 'low_role_confidence' END,
+    CASE WHEN strength IN ('medium', 'strong') AND (confidence < 0.8 OR role_confidence < 0.8) THEN 'surface_form_resists_uncertain_schema' END], lambda x: x IS NOT NULL) AS uncertain,
+  list_concat(CASE WHEN header <> '' AND NOT regexp_matches(header, '^(?i)col[0-9]+$') THEN [{'v': header, 'w': 0.75}] ELSE [] END, list_transform(other, lambda x: {'v': x, 'w': CASE WHEN regexp_matches(x, '[0-9]') THEN 0.25 ELSE 0.65 END}), list_transform(samples, lambda x: {'v': x, 'w': 0.5})) AS soft0,
+  list_filter([canonical, mention, replace(canonical, '.', '')], lambda x: x <> '') AS var0 FROM c2),
+c4 AS (SELECT *, role = 'BODY_OF_WATER_NAME' AS water, len(uncertain) > 0 AS unsure, (role = 'BODY_OF_WATER_NAME' AND hyp[1].f = 'LANDMARK') OR NOT ((strength = 'weak' AND confidence < 0.8) OR (hyp[1].p < 0.82 AND confidence < 0.78)) AS firm,
+  list_filter(soft0, lambda x, i: list_position(list_transform(soft0, lambda y: y.v), x.v) = i) AS soft1, list_filter(var0, lambda x, i: list_position(var0, x) = i) AS var1 FROM c3),
+sc AS (SELECT *, CASE WHEN water OR firm THEN 'ENTITY' ELSE '' END AS item_filters, CASE WHEN unsure THEN '' WHEN water THEN 'LOCATION' WHEN firm THEN hyp[1].c ELSE '' END AS coarse_hints, CASE WHEN unsure THEN '' WHEN water THEN 'LANDMARK' WHEN firm THEN hyp[1].f ELSE '' END AS fine_hints,
+  CASE WHEN water THEN [{'c': 'LOCATION', 'f': 'LANDMARK'}] ELSE list_transform(hyp, lambda h: {'c': h.c, 'f': h.f}) END AS plan,
+  list_concat(CASE WHEN water AND NOT regexp_matches(lower(canonical), '(^| )(bay|gulf|lake|ocean|river|sea|strait)( |$)') THEN [{'t': 'Lake ' || canonical, 'w': 0.96}] ELSE [] END,
+    list_transform(var1, lambda x, i: {'t': x, 'w': CASE WHEN i = 1 THEN 1.0 WHEN x = mention THEN 0.7 ELSE greatest(0.45, 0.7 - (i - 1) * 0.1) END})) AS variants,
+  list_concat(soft1, CASE WHEN water THEN [{'v': 'lake', 'w': 0.85}, {'v': 'body of water', 'w': 0.75}, {'v': 'freshwater lake', 'w': 0.7}] ELSE [] END) AS soft FROM c4),
+pl AS (SELECT *, list_transform(list_filter(list_sort(list_transform(soft, lambda x, i: {'w': -x.w, 'i': i, 'v': x.v}))[1:12], lambda x: x.w <= -0.3), lambda x: x.v) AS terms, list_sort(list_transform(variants, lambda x, i: {'w': -x.w, 'i': i, 't': x.t}))[1].t AS lookup_mention FROM sc)"""
+SCHEMA = CELLS + STATS + FAMILIES + ROLES + SEED
+
+
 def schema(spark, sf_dir) -> DataFrame:
-    return T.seed_schema(contexts(spark, sf_dir), T.roles(T.column_stats(fx.cells(spark, sf_dir))))
+    return T.finished(T.seed_schema(contexts(spark, sf_dir), T.roles(T.column_stats(fx.cells(spark, sf_dir)))))
 
 
-@query()
+def _shown(items: str, *fields: str):
+    return F.array_join(F.transform(items, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])), "|")
+
+
+@query(SCHEMA + """ SELECT table_id, row_id, family, role, strength, array_to_string(uncertain, ',') AS uncertain, item_filters, coarse_hints, fine_hints, array_to_string(list_transform(CASE WHEN water THEN list_concat([{'c': 'LOCATION', 'f': 'LANDMARK', 'p': 0.92}], list_filter(hyp, lambda h: h.f <> 'LANDMARK')) ELSE hyp END, lambda h: h.f), ',') AS hypotheses,
+  array_to_string(list_transform(variants, lambda x: x.t), '|') AS variants, array_to_string(related, '|') AS related, array_to_string(list_transform(plan, lambda x, i: i || ':' || x.f || ':' || CASE WHEN i = 1 AND NOT unsure THEN 'hard' ELSE 'soft' END), '|') AS plan FROM sc""")
 def pp10_seed_schema(spark, sf_dir):
+    """The whole seed schema of every target cell, after the policies for waters and uncertain tables."""
     s = schema(spark, sf_dir)
-    return s.select("table_id", "row_id", "family", "role", "strength", F.array_join("uncertain", ",").alias("uncertain"), F.array_join("item_filters", ",").alias("item_filters"), F.array_join(F.transform("hypotheses", lambda h: h["fine_type"]), ",").alias("hypotheses"), F.array_join("variants", "|").alias("variants"))
+    related = F.array_join(F.transform("related_cells", lambda x: F.concat_ws("=", x["column_name"], x["cell_value"])), "|")
+    return s.select("table_id", "row_id", "family", "role", "strength", F.array_join("uncertain", ",").alias("uncertain"), *[F.array_join(c, ",").alias(c) for c in ("item_filters", "coarse_hints", "fine_hints")], F.array_join(F.transform("hypotheses", lambda h: h["fine_type"]), ",").alias("hypotheses"), F.array_join(F.transform("variants", lambda v: v["text"]), "|").alias("variants"), related.alias("related"), _shown("plan", "rank", "fine_type", "retrieval_mode").alias("plan"))
 
 
-@query()
+@query(SCHEMA + " SELECT table_id, row_id, x.v AS value, CAST(x.w AS DOUBLE) AS weight FROM (SELECT table_id, row_id, unnest(soft) AS x FROM sc) UNION ALL SELECT table_id, row_id, x.t, CAST(x.w AS DOUBLE) FROM (SELECT table_id, row_id, unnest(variants) AS x FROM sc)")
+def pp2_pp3_weights(spark, sf_dir):
+    """Context terms and query variants with their weights."""
+    s = schema(spark, sf_dir)
+    soft = s.select("table_id", "row_id", F.explode("soft").alias("x")).select("table_id", "row_id", "x.value", "x.weight")
+    return soft.unionByName(s.select("table_id", "row_id", F.explode("variants").alias("x")).select("table_id", "row_id", F.col("x.text").alias("value"), "x.weight"))
+
+
+@query(SCHEMA + " SELECT table_id, row_id, lookup_mention, array_to_string(CASE WHEN len(terms) > 0 THEN terms ELSE list_distinct(list_concat(other, samples)) END, '|') AS lookup_context FROM pl")
 def pp14_payload(spark, sf_dir):
     return T.payload(schema(spark, sf_dir)).select("table_id", "row_id", "lookup_mention", F.array_join("lookup_context", "|").alias("lookup_context"))
 
 
-@query()
+@query(SCHEMA + """,
+st0 AS (SELECT table_id, row_id, list_concat([{'s': 'primary', 'k': item_filters || '/' || coarse_hints || '/' || fine_hints}],
+  flatten(list_transform(plan, lambda h, i: [{'s': 'hypothesis_' || i, 'k': 'ENTITY/' || h.c || '/' || CASE h.f WHEN 'MISC' THEN '' ELSE h.f END}, {'s': 'hypothesis_' || i || '_relax_fine', 'k': 'ENTITY/' || h.c || '/'}])),
+  CASE WHEN strength = 'weak' OR family <> 'GEOGRAPHY' THEN [{'s': 'no_type_context_only', 'k': item_filters || '//'}] ELSE [] END, CASE WHEN item_filters <> '' THEN [{'s': 'item_category_only', 'k': item_filters || '//'}] ELSE [] END) AS l FROM sc),
+st1 AS (SELECT table_id, row_id, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: y.k), x.k) = i) AS l FROM st0)
+SELECT table_id, row_id, CAST(n AS INT) AS stage_no, x.s AS stage, x.k AS filters FROM (SELECT table_id, row_id, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM st1)""")
 def pp15_payload_stages(spark, sf_dir):
-    return T.payload_stages(schema(spark, sf_dir)).groupBy("table_id", "stage_no", "stage").agg(F.count("*").alias("cells"))
+    """Every request of every cell, in order, with its filters."""
+    s = T.payload_stages(schema(spark, sf_dir))
+    return s.select("table_id", "row_id", "stage_no", "stage", F.concat_ws("/", *[F.array_join(c, ",") for c in ("item", "coarse", "fine")]).alias("filters"))
 
 
 _KEPT: dict[tuple, DataFrame] = {}
