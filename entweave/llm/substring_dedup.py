@@ -35,6 +35,7 @@ from .common import small_batches, widened, with_cuts
 from .repeats import later_copies
 
 SPAN = 3
+SPAN_WORDS = 12  # what the query asks of a run of SPAN sentences; less is a stock phrase rather than a copied passage
 MIN_WORDS = 20
 MAX_WORDS = 40
 CUT_WORDS = 16  # of a sentence without ends: words between two cuts, on average
@@ -83,14 +84,14 @@ def sentences(text: str | None, max_words: int = MAX_WORDS) -> list[str]:
     return out
 
 
-def runs(parts: list[str], min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
+def runs(parts: list[str], min_words: int = MIN_WORDS, span_words: int = 0) -> list[tuple[int, int, bytes]]:
     """(first sentence, number of sentences, 128-bit hash) of every run that is hashed; sentences are numbered without blank ones."""
     joined = [" ".join(w) for w in (p.split() for p in parts) if w]
     before = [0]
     for s in joined:
         before.append(before[-1] + n_words(s))
     n = len(joined)
-    found = {(i, SPAN) for i in range(n - SPAN + 1) if before[i + SPAN] - before[i] < min_words}
+    found = {(i, SPAN) for i in range(n - SPAN + 1) if span_words <= before[i + SPAN] - before[i] < min_words}
     end = 0
     for i in range(n):  # the shortest run from each sentence on
         end = max(end, i + 1)
@@ -111,12 +112,12 @@ def runs(parts: list[str], min_words: int = MIN_WORDS) -> list[tuple[int, int, b
     return [(i, k, digest("\n".join(joined[i : i + k]))) for i, k in sorted(found)]
 
 
-def _spans(docs: DataFrame, min_words: int) -> DataFrame:
+def _spans(docs: DataFrame, min_words: int, span_words: int) -> DataFrame:
     def run(batches):
         for b in batches:
             ids, at, keys = [], [], []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                found = runs(sentences(text), min_words)
+                found = runs(sentences(text), min_words, span_words)
                 ids += [doc_id] * len(found)
                 at += [i * 256 + n for i, n, _ in found]
                 keys += [k for _, _, k in found]
@@ -127,10 +128,11 @@ def _spans(docs: DataFrame, min_words: int) -> DataFrame:
     return source.mapInArrow(run, "k1 long, k2 long, doc_id long, at long")
 
 
-def dedup_substrings(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the repeated sentences cut from text, plus n_sentences and n_removed."""
+def dedup_substrings(docs: DataFrame, *, min_words: int = MIN_WORDS, span_words: int = 0) -> DataFrame:
+    """docs with the repeated sentences cut from text, plus n_sentences and n_removed.  With span_words, runs of SPAN sentences
+    count from that many words on; as it is, all do."""
     small_batches(docs.sparkSession)
-    spans = _spans(docs, min_words)
+    spans = _spans(docs, min_words, span_words)
     repeats = later_copies(spans).groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("cut"))
     base = docs.drop("n_sentences", "n_removed")
     joined, cut_name = with_cuts(base, repeats)
@@ -154,5 +156,5 @@ def dedup_substrings(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFram
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    done = dedup_substrings(docs.select("doc_id", "text"))
+    done = dedup_substrings(docs.select("doc_id", "text"), span_words=SPAN_WORDS)
     return done.select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -265,8 +265,8 @@ def split_sentences(text):
 
 
 def test_substring_dedup(spark, texts):
-    """All runs of all lengths against each other: a sentence goes if it lies in a run of 3 sentences or 20 words that occurs
-    earlier.  The library hashes shortest runs only, cuts and counts by other code."""
+    """All runs of all lengths against each other: a sentence goes if it lies in a run of 20 words, or of 3 sentences and 12 words, that
+    occurs earlier.  The library hashes shortest runs only, cuts and counts by other code."""
     texts = {i: t for i, t in texts.items() if i not in (85, 86, 87, 88)}
     got = by_id(substring_dedup.op1(spark.createDataFrame([*texts.items(), (None, texts[0])], "doc_id long, text string").repartition(4)))
     seen, cut = {}, {}
@@ -277,7 +277,8 @@ def test_substring_dedup(spark, texts):
         for at in range(len(full)):
             for end in range(at + 1, min(len(full), at + 24) + 1):
                 run = tuple(s for _, s in full[at:end])
-                if end - at == 3 or sum(len(s.split()) for s in run) >= 20:
+                size = sum(len(s.split()) for s in run)
+                if end - at == 3 and size >= 12 or size >= 20:
                     if seen.setdefault(run, (i, at)) != (i, at):
                         gone |= {k for k, _ in full[at:end]}
         cut[i] = len(gone)
