@@ -122,6 +122,7 @@ def rerank(feats: DataFrame, keys: list[str] = CELL) -> DataFrame:
     """Order by score, one candidate per family group, then the same-type resolver; reranked_rank from 1."""
     per = Window.partitionBy(*keys)
     order = [F.desc("final_score"), F.desc("es_score"), F.desc("prior"), F.desc("qid")]
+    feats = feats.withColumn("raw_rank", F.row_number().over(per.orderBy(F.desc("es_score"), "qid")))
     r = feats.withColumn("_o", F.row_number().over(per.orderBy(*order)))
     r = r.withColumn("_g", F.row_number().over(Window.partitionBy(*keys, "family_group").orderBy("_o"))).where(F.col("family_group").isNull() | (F.col("_g") == 1))
     r = r.withColumn("_o", F.row_number().over(per.orderBy("_o")))
@@ -139,8 +140,19 @@ def rerank(feats: DataFrame, keys: list[str] = CELL) -> DataFrame:
     return r.withColumn("reranked_rank", F.when(F.col("_any"), again).otherwise(F.col("_o"))).drop("_o", "_g", "_k", "_tk", "_tr", "_tf", "_tn", "_b", "_any")
 
 
-def decide(ranked: DataFrame, keys: list[str] = CELL) -> DataFrame:
-    """One row per cell: the selected candidate, confidence, margin, abstention and reasons."""
+def decide(ranked: DataFrame, keys: list[str] = CELL, *, targets: DataFrame | None = None) -> DataFrame:
+    """One row per cell: the selected candidate, confidence, margin, abstention and reasons.  With targets(keys), cells without
+    any candidate get a row too: left open, with the reason no_candidates."""
+    decided = _decided(ranked, keys)
+    if targets is None:
+        return decided
+    out = targets.select(*keys).distinct().join(decided, keys, "left")
+    none = F.col("abstain").isNull()
+    fill = {"confidence": F.lit(0.0), "margin": F.lit(0.0), "abstain": F.lit(True), "reason_codes": F.array(F.lit("no_candidates"))}
+    return out.withColumns({c: F.when(none, v).otherwise(F.col(c)) for c, v in fill.items()})
+
+
+def _decided(ranked: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("reranked_rank")
     r = ranked.withColumns({"second": F.lead("final_score", 1, 0.0).over(w), "runner_up_qid": F.lead("qid").over(w), "runner_up_label": F.lead("label").over(w)}).where("reranked_rank = 1")
     c = F.col
@@ -176,30 +188,28 @@ def staged(hits: DataFrame, *, enough: int, keys: list[str] = CELL) -> DataFrame
 
 def diagnostics(ranked: DataFrame, gold: DataFrame, keys: list[str] = CELL, cuts=(1, 10, 25, 50, 100)) -> DataFrame:
     """gold(keys, gold_qid) -> best rank of a gold candidate per cell, recall flags."""
-    g = gold.join(ranked.select(*keys, F.col("qid").alias("gold_qid"), "reranked_rank"), [*keys, "gold_qid"], "left").groupBy(*keys).agg(F.min("reranked_rank").alias("best_rank"))
+    there = ranked.select(*keys, F.col("qid").alias("gold_qid"), "reranked_rank", "raw_rank")
+    g = gold.join(there, [*keys, "gold_qid"], "left").groupBy(*keys).agg(F.min("reranked_rank").alias("best_rank"), F.min("raw_rank").alias("best_raw_rank"))
     return g.withColumns({"in_candidates": F.col("best_rank").isNotNull(), **{f"recall_at_{k}": F.coalesce(F.col("best_rank") <= k, F.lit(False)) for k in cuts}})
 
 
+MODES = {"invoked": r"^(semantic|shepherd|ranker)_", "overridden": r"_override", "confirmed": r"_confirmed$"}
+
+
 def summary(decisions: DataFrame, gold: DataFrame, diag: DataFrame, by: list[str], keys: list[str] = CELL) -> DataFrame:
-    """Accuracy, answered accuracy, coverage, recalls, mean rank per group; one aggregation."""
+    """Accuracy, answered accuracy, coverage, recalls, mean ranks per group, and how often an adjudicator was asked, overrode
+    and confirmed (where decisions have a resolution_mode); one aggregation."""
     right = gold.join(decisions.select(*keys, F.col("selected_qid").alias("gold_qid"), F.lit(True).alias("ok")), [*keys, "gold_qid"], "left").groupBy(*keys).agg(F.coalesce(F.bool_or("ok"), F.lit(False)).alias("ok"))
-    d = right.join(diag, keys).join(decisions.select(*keys, "abstain"), keys, "left")
+    mode = F.col("resolution_mode") if "resolution_mode" in decisions.columns else F.lit("")
+    d = right.join(diag, keys).join(decisions.select(*keys, "abstain", mode.alias("mode")), keys, "left")
     answered = ~F.coalesce("abstain", F.lit(True))
     cuts = [c for c in diag.columns if c.startswith("recall_at_")]
     rate = lambda cond: F.round(F.avg(F.when(cond, 1.0).otherwise(0.0)), 4)
-    return d.groupBy(*by).agg(F.count("*").alias("cells"), rate(F.col("ok")).alias("accuracy"), rate(answered).alias("coverage"), F.round(F.count_if(F.col("ok") & answered) / F.nullif(F.count_if(answered), F.lit(0)), 4).alias("answered_accuracy"), F.round(F.avg("best_rank"), 4).alias("mean_rank"), *[rate(F.col(c)).alias(c) for c in cuts])
+    counts = [F.count_if(F.coalesce(F.col("mode"), F.lit("")).rlike(pattern)).alias(name) for name, pattern in MODES.items()]
+    ranks = [F.round(F.avg("best_rank"), 4).alias("mean_rank"), *([F.round(F.avg("best_raw_rank"), 4).alias("mean_raw_rank")] if "best_raw_rank" in diag.columns else [])]
+    return d.groupBy(*by).agg(F.count("*").alias("cells"), rate(F.col("ok")).alias("accuracy"), rate(answered).alias("coverage"), F.round(F.count_if(F.col("ok") & answered) / F.nullif(F.count_if(answered), F.lit(0)), 4).alias("answered_accuracy"), *ranks, *counts, *[rate(F.col(c)).alias(c) for c in cuts])
 
 
 def weighted_total(per_table: DataFrame, measures: list[str]) -> DataFrame:
     """Over tables, weighted by their cells, from values already rounded per table."""
     return per_table.agg(F.sum("cells").alias("cells"), *[F.round(F.sum(F.coalesce(m, F.lit(0.0)) * F.greatest("cells", F.lit(1))) / F.sum(F.greatest("cells", F.lit(1))), 4).alias(m) for m in measures])
-
-
-def adjudicate(decisions: DataFrame, verdicts: DataFrame, keys: list[str] = CELL, *, floor: float = 0.72, override: float = 0.82) -> DataFrame:
-    """Verdicts (keys, verdict_qid, verdict_confidence) from outside: they fill abstentions from `floor` on and replace
-    a selection from `override` on."""
-    d = decisions.join(verdicts, keys, "left")
-    filled = F.col("abstain") & F.col("verdict_qid").isNotNull() & (F.col("verdict_confidence") >= floor)
-    replaced = ~F.col("abstain") & (F.col("verdict_qid") != F.col("selected_qid")) & (F.col("verdict_confidence") >= override)
-    used = F.coalesce(filled | replaced, F.lit(False))
-    return d.withColumns({"selected_qid": F.when(used, F.col("verdict_qid")).otherwise(F.col("selected_qid")), "confidence": F.when(used, F.greatest("confidence", "verdict_confidence")).otherwise(F.col("confidence")), "abstain": F.col("abstain") & ~used, "adjudicated": used}).drop("verdict_qid", "verdict_confidence")

@@ -9,8 +9,10 @@ from ..functions import text as X
 from ..operators import graph as G
 from ..operators import lookup as K
 from ..operators import rerank as R
+from ..operators import resolution as A
 from ..operators import tables as T
 from ..operators import triggers as V
+from ..scratch import written
 from ..sources import text_sources as S
 from .. import lexicon as L
 from . import fixtures as fx
@@ -195,54 +197,75 @@ def pp15_payload_stages(spark, sf_dir):
     return s.select("table_id", "row_id", "stage_no", "stage", F.concat_ws("/", *[F.array_join(c, ",") for c in ("item", "coarse", "fine")]).alias("filters"))
 
 
-_KEPT: dict[tuple, DataFrame] = {}
+TOP_K = 25
 
 
-def ranked(spark, sf_dir) -> DataFrame:
-    """The linked cells; the plan is built once for a session and folder, as several queries start from it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = _ranked(spark, sf_dir)
-    return _KEPT[key]
+def link(spark, sf_dir, cells: DataFrame, *, k: int = TOP_K) -> DataFrame:
+    """Every cell linked: its requests in stages, the stages up to the first with enough hits merged, features per cell and
+    candidate, reranked.  Requests of cells that ask for the same are sent once."""
+    e = fx.entity_table(spark, sf_dir)
+    asked = T.payload_stages(cells).join(T.payload(cells).select(*R.CELL, "lookup_mention"), R.CELL)
+    filters = F.concat_ws("|", "lookup_mention", *[F.array_join(c, ",") for c in ("item", "coarse", "fine")])
+    asked = written(asked.withColumn("mention_id", F.md5(filters)), "requests")
+    once = asked.groupBy("mention_id").agg(*[F.first(c).alias(n) for c, n in (("lookup_mention", "mention"), ("coarse", "coarse_hints"), ("fine", "fine_hints"), ("item", "item"))])
+    best = K.fuzzy_candidates(K.prepare(once), e, k=k).join(once.select("mention_id", "item"), "mention_id").join(e.select("qid", "item_category"), "qid")
+    best = best.where((F.size("item") == 0) | F.array_contains("item", F.col("item_category"))).select("mention_id", "qid", (F.col("score") * 10).alias("es_score"))
+    hits = asked.select(*R.CELL, "stage_no", "mention_id").join(best, "mention_id").drop("mention_id")
+    hits = written(R.staged(hits, enough=max(6, k)), "hits")
+    near = fx.triples(spark, sf_dir, e).join(hits.select(F.col("qid").alias("subject_qid")).distinct(), "subject_qid", "left_semi")
+    about = e.select("qid", "label", "aliases", "coarse_type", "fine_type", "item_category", "prior", "wikipedia_url", "dbpedia_url", "description")
+    found = hits.join(about, "qid").join(G.context_strings(near, e.select("qid", "label")), "qid", "left")
+    r = R.rerank(R.features(R.cell_tokens(cells).join(found, R.CELL)))
+    return written(r.where(F.col("reranked_rank") <= k), "ranked")
 
 
-def _ranked(spark, sf_dir) -> DataFrame:
-    """Every target cell linked: retrieval by distinct mention, features per cell and candidate, reranked."""
-    e = fx.entities(spark, sf_dir)
-    # kept once: they are read several times, and a small plan is analysed and compiled much faster
-    cells = R.cell_tokens(schema(spark, sf_dir)).persist()
-    asked = cells.select(F.md5("canonical").alias("mention_id"), F.col("canonical").alias("mention")).distinct()
-    best = K.fuzzy_candidates(K.prepare(asked), e, k=25)
-    near = fx.triples(spark, sf_dir, e).join(best.select(F.col("qid").alias("subject_qid")).distinct(), "subject_qid", "left_semi")
-    found = best.join(e, "qid").join(G.context_strings(near, e.select("qid", "label")), "qid", "left").persist()
-    pairs = cells.withColumn("mention_id", F.md5("canonical")).join(found.select("mention_id", "qid", (F.col("score") * 10).alias("es_score"), "label", "aliases", "coarse_type", "fine_type", "item_category", "prior", "wikipedia_url", "context_string", "description"), "mention_id")
-    return R.rerank(R.features(pairs)).persist()
+def cells_of(spark, sf_dir) -> DataFrame:
+    return written(schema(spark, sf_dir), "schemas")
+
+
+def linked(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Schemas, ranked candidates and a decision for every target, written once for the query that reads them."""
+    cells = cells_of(spark, sf_dir)
+    r = link(spark, sf_dir, cells)
+    return cells, r, written(R.decide(r, targets=cells), "decisions")
 
 
 @query()
 def f1_f7_rerank_cells(spark, sf_dir):
-    r = ranked(spark, sf_dir)
-    return r.select(*R.CELL, "qid", "candidate_family", F.round("heuristic_score", 4).alias("heuristic_score"), F.round("final_score", 4).alias("final_score"), "reranked_rank")
+    r = link(spark, sf_dir, cells_of(spark, sf_dir))
+    return r.select(*R.CELL, "qid", "candidate_family", F.round("heuristic_score", 4).alias("heuristic_score"), F.round("final_score", 4).alias("final_score"), "reranked_rank", "raw_rank", F.array_join("stages", ",").alias("stages"))
 
 
 @query()
 def d1_decisions(spark, sf_dir):
-    return R.decide(ranked(spark, sf_dir)).withColumn("reason_codes", F.array_join("reason_codes", ","))
+    """Every target cell, those without candidates too."""
+    return linked(spark, sf_dir)[2].withColumn("reason_codes", F.array_join("reason_codes", ","))
 
 
 def gold(spark, sf_dir) -> DataFrame:
-    """A cell's own row is its entity."""
+    """A cell's own row is its entity; rows of people and lakes have none."""
     t = targets(spark, sf_dir)
     off = F.create_map(*[F.lit(x) for p in fx.OFFSETS.items() for x in p])[F.col("table_id")]
-    return t.withColumn("gold_qid", F.concat(F.lit("Q"), (off + F.col("row_id") - 1).cast("string")))
+    return t.where(off.isNotNull()).withColumn("gold_qid", F.concat(F.lit("Q"), (off + F.col("row_id") - 1).cast("string")))
+
+
+def verdicts(spark, sf_dir) -> DataFrame:
+    """Verdicts as a table: the gold entity, with a confidence and abstentions that depend on the row."""
+    return gold(spark, sf_dir).select(*R.CELL, F.col("gold_qid").alias("verdict_qid"), F.when(F.col("row_id") % 3 == 0, 0.9).otherwise(0.75).alias("verdict_confidence"), (F.col("row_id") % 7 == 0).alias("verdict_abstain"))
+
+
+def resolved(spark, sf_dir):
+    cells, r, d = linked(spark, sf_dir)
+    semantic, shepherd = V.semantic_trigger(r, d), V.ambiguity_trigger(r, d)
+    v = verdicts(spark, sf_dir)
+    return cells, r, d, semantic, shepherd, written(A.resolve(d, r, semantic, shepherd, shepherd=v, semantic=v), "resolved")
 
 
 @query()
 def e1_a6_evaluation(spark, sf_dir):
-    r = ranked(spark, sf_dir)
+    _, r, _, _, _, final = resolved(spark, sf_dir)
     g = gold(spark, sf_dir)
-    return R.summary(R.decide(r), g, R.diagnostics(r, g), ["table_id"])
+    return R.summary(final, g, R.diagnostics(r, g), ["table_id"])
 
 
 @query()
@@ -250,11 +273,6 @@ def a7_weighted_total(spark, sf_dir):
     return R.weighted_total(e1_a6_evaluation(spark, sf_dir), ["accuracy", "coverage", "recall_at_1", "recall_at_10"])
 
 
-@query("SELECT o_orderstatus AS g, count(*) AS cells, round(avg((o_totalprice > 200000)::INT), 4) AS accuracy FROM orders GROUP BY 1")
-def a6_rates(spark, sf_dir):
-    return fx.load(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("g")).agg(F.count("*").alias("cells"), F.round(F.avg(F.when(F.col("o_totalprice") > 200000, 1.0).otherwise(0.0)), 4).alias("accuracy"))
-
-
 @query("WITH s AS (SELECT l_orderkey AS k, CAST(l_linenumber AS INT) AS stage_no, l_partkey AS qid, l_extendedprice AS sc FROM lineitem), n AS (SELECT k, stage_no, count(*) AS c FROM s GROUP BY 1, 2), f AS (SELECT k, min(stage_no) FILTER (WHERE c >= 2) AS stop FROM n GROUP BY 1) SELECT k, qid, max(sc) AS es_score, string_agg(DISTINCT CAST(stage_no AS VARCHAR), ',' ORDER BY CAST(stage_no AS VARCHAR)) AS stages FROM s JOIN f USING (k) WHERE stop IS NULL OR stage_no <= stop GROUP BY 1, 2")
 def r9_j13_staged_retrieval(spark, sf_dir):
     """Line numbers stand for stages, parts for hits: stages up to the first with two hits count, merged by id."""
@@ -263,28 +281,41 @@ def r9_j13_staged_retrieval(spark, sf_dir):
 
 
 @query()
-def d8_adjudication(spark, sf_dir):
-    """Verdicts from outside as a table: here the gold entity with a confidence that depends on the row."""
-    d = R.decide(ranked(spark, sf_dir))
-    v = gold(spark, sf_dir).select(*R.CELL, F.col("gold_qid").alias("verdict_qid"), F.when(F.col("row_id") % 3 == 0, 0.9).otherwise(0.5).alias("verdict_confidence"))
-    return R.adjudicate(d, v).groupBy("table_id", "adjudicated").agg(F.count("*").alias("cells"), F.count_if("abstain").alias("abstained"))
+def d8_hybrid_resolution(spark, sf_dir):
+    """Which adjudicator judged how many cells, and what came of it."""
+    final = resolved(spark, sf_dir)[5]
+    return final.groupBy("table_id", "resolution_mode").agg(F.count("*").alias("cells"), F.count_if("abstain").alias("abstained"))
 
 
 @query()
 def d2_semantic_trigger(spark, sf_dir):
-    r = ranked(spark, sf_dir)
-    return V.semantic_trigger(r, R.decide(r)).groupBy("table_id", "should_run", F.array_join("reason_codes", ",").alias("reasons")).agg(F.count("*").alias("cells"))
+    _, r, d = linked(spark, sf_dir)
+    return V.semantic_trigger(r, d).groupBy("table_id", "should_run", F.array_join("reason_codes", ",").alias("reasons")).agg(F.count("*").alias("cells"))
 
 
 @query()
 def d3_ambiguity_trigger(spark, sf_dir):
-    r = ranked(spark, sf_dir)
-    return V.ambiguity_trigger(r, R.decide(r)).groupBy("table_id", "should_run", F.array_join("reason_codes", ",").alias("reasons")).agg(F.count("*").alias("cells"))
+    _, r, d = linked(spark, sf_dir)
+    return V.ambiguity_trigger(r, d).groupBy("table_id", "should_run", F.array_join("reason_codes", ",").alias("reasons")).agg(F.count("*").alias("cells"))
+
+
+@query()
+def d5_payloads(spark, sf_dir):
+    """What the adjudicator of hard ambiguities is given: the keys of the payload and its candidates, in order."""
+    cells, r, d = linked(spark, sf_dir)
+    p = A.payloads(r, d, cells, V.ambiguity_trigger(r, d), kind="shepherd")
+    ids = F.from_json(F.get_json_object("payload", "$.candidates[*].qid"), "array<string>")
+    return p.select(*R.CELL, F.array_join(F.json_object_keys("payload"), ",").alias("parts"), F.array_join(ids, ",").alias("qids"))
 
 
 @query()
 def d7_widen_retrieval(spark, sf_dir):
-    return V.wants_more_candidates(ranked(spark, sf_dir)).groupBy("table_id", "widen").agg(F.count("*").alias("cells"))
+    """Cells with three equal labels at the top are looked up again with three times the candidates."""
+    cells, r, d = linked(spark, sf_dir)
+    more = written(V.wants_more_candidates(r, V.semantic_trigger(r, d)).where("widen").select(*R.CELL), "widen")
+    wide = link(spark, sf_dir, cells.join(more, R.CELL, "left_semi"), k=min(100, 3 * TOP_K))
+    n = lambda df, name: df.groupBy(*R.CELL).agg(F.count("*").alias(name))
+    return more.join(n(r, "before"), R.CELL).join(n(wide, "after"), R.CELL, "left")
 
 
 @query("WITH c AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS qid FROM lineitem), r AS (SELECT l_orderkey AS k, l_partkey AS qid, CAST(l_linenumber AS INT) AS rank, l_quantity / 40 AS conf FROM lineitem UNION ALL SELECT l_orderkey, -1, 1, 0.5 FROM lineitem) SELECT k, qid, min(rank) AS rank, greatest(0, least(1, max(conf) FILTER (WHERE rank = m))) AS confidence FROM (SELECT r.*, min(rank) OVER (PARTITION BY k, qid) AS m FROM r JOIN c USING (k, qid)) GROUP BY 1, 2")
@@ -297,11 +328,20 @@ def d10_ranking_validation(spark, sf_dir):
     return V.valid_rankings(given.unionByName(unknown), given, ["k"])
 
 
+def results(spark, sf_dir) -> DataFrame:
+    cells, r, _, semantic, shepherd, final = resolved(spark, sf_dir)
+    g = gold(spark, sf_dir)
+    s = cells.select(*R.CELL, F.col("strength").alias("mention_strength"), (F.size(F.concat("item_filters", "coarse_hints", "fine_hints")) > 0).alias("filtered"), F.col("confidence").alias("schema_confidence"))
+    t = semantic.select(*R.CELL, F.col("reason_codes").alias("a")).join(shepherd.select(*R.CELL, F.col("reason_codes").alias("b")), R.CELL)
+    fired = r.where("reranked_rank = 1").select(*R.CELL, F.col("same_type_resolver_applied").alias("resolver_applied"))
+    x = final.select(*R.CELL, "selected_qid", "abstain", F.col("resolution_mode").alias("mode"), F.col("reason_codes").alias("own")).join(g, R.CELL).join(R.diagnostics(r, g), R.CELL).join(s, R.CELL)
+    x = x.join(t, R.CELL, "left").join(fired, R.CELL, "left").na.fill({"resolver_applied": False})
+    none = F.array().cast("array<string>")
+    x = x.withColumns({"correct": F.coalesce(F.col("selected_qid") == F.col("gold_qid"), F.lit(False)), "gold_in_candidates": F.col("in_candidates"), "gold_rank": F.col("best_rank"), "resolution_mode": F.col("mode"), "trigger_codes": F.concat(F.coalesce("a", none), F.transform(F.coalesce("b", none), lambda c: F.concat(F.lit("shepherd:"), c))), "triggers": F.array_distinct(F.concat(F.coalesce("a", none), F.coalesce("b", none), F.filter("own", lambda c: c == "no_candidates")))})
+    return x.withColumn("family", V.error_family(x))
+
+
 @query()
-def e3_a8_error_families(spark, sf_dir):
-    r = ranked(spark, sf_dir)
-    d, g = R.decide(r), gold(spark, sf_dir)
-    s = schema(spark, sf_dir).select(*R.CELL, F.col("strength").alias("mention_strength"), (F.size("item_filters") > 0).alias("filtered"), F.col("confidence").alias("schema_confidence"))
-    x = d.select(*R.CELL, "selected_qid", "abstain").join(g, R.CELL).join(R.diagnostics(r, g), R.CELL).join(s, R.CELL).join(V.ambiguity_trigger(r, d).select(*R.CELL, F.col("reason_codes").alias("triggers")), R.CELL)
-    x = x.withColumns({"correct": F.col("selected_qid") == F.col("gold_qid"), "gold_in_candidates": F.col("in_candidates"), "gold_rank": F.col("best_rank"), "resolver_applied": F.lit(False), "mode": F.lit("deterministic")})
-    return x.groupBy("table_id", V.error_family(x).alias("family")).agg(F.count("*").alias("cells"))
+def e3_a8_error_report(spark, sf_dir):
+    """Failures by family, mode and trigger reason."""
+    return A.error_report(results(spark, sf_dir), ["table_id"])
