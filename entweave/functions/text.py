@@ -82,6 +82,28 @@ def exact_names(c) -> Column:
     return F.when(F.coalesce(ascii_only, F.lit(True)), plain).otherwise(_exact_list_udf(F.when(~F.coalesce(ascii_only, F.lit(True)), c)))
 
 
+def _folding() -> tuple[str, str]:
+    """Letters whose decomposition is one base letter and combining marks, and these bases."""
+    pairs = []
+    for code in range(0xC0, 0x2000):
+        d = unicodedata.normalize("NFD", chr(code))
+        base = [x for x in d if unicodedata.category(x) != "Mn"]
+        if len(d) > 1 and len(base) == 1:
+            pairs.append((chr(code), base[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _BARE = _folding()
+
+
+def ascii_fold(c) -> Column:
+    """Accents dropped, ligatures spelled out, as a search index folds its terms."""
+    s = F.translate(_col(c), _ACCENTED, _BARE)
+    for sign, text in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("ł", "l"), ("đ", "d")):
+        s = F.replace(s, F.lit(sign), F.lit(text))
+    return s
+
+
 def char_ngrams(c, n: int = 3) -> Column:
     """Distinct n-grams without blanks; a text of up to n characters is its own."""
     s = F.replace(_col(c), F.lit(" "), F.lit(""))
@@ -173,3 +195,14 @@ def prior(popularity) -> Column:
 def char_trigrams(c: Column) -> Column:
     """Distinct trigrams with blanks; empty for texts under three characters."""
     return F.when(F.length(c) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))))
+
+
+def json_text_map(c) -> Column:
+    """A JSON object's texts by name; anything else, and any other value, counts as none."""
+    m = F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return F.map_filter(m, lambda _, v: v.isNotNull() & ~v.rlike(r"^[\[{]"))
+
+
+def json_text_list(c) -> Column:
+    """The texts of a JSON list without blank ones; anything else counts as none."""
+    return F.filter(F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, tokenize, without_stopwords
+from .graph import neighbours
 
 
 def name_text(labels: Column, aliases: Column) -> Column:
@@ -31,6 +32,28 @@ def graph_bow(neighbour_labels: Column, cap: int = 128) -> Column:
     return F.slice(without_stopwords(F.flatten(F.transform(neighbour_labels, tokenize))), 1, cap)
 
 
+def graph_bows(ids: DataFrame, triples: DataFrame, labels: DataFrame, *, cap: int = 128) -> DataFrame:
+    """qid, bow: the tokens of a neighbourhood's labels, of predicate and neighbour, outgoing edges before incoming ones; repeats
+    are kept.  A hub's edges are cut to `cap` before they are gathered: every edge that is left brings a token."""
+    name = lambda key: labels.select(F.col("qid").alias(key), F.col("label").alias(f"{key}_label"))
+    edges = neighbours(ids, triples).where("direction is not null")
+    e = edges.join(name("predicate_pid"), "predicate_pid", "left").join(name("other_qid"), "other_qid", "left")
+    none = F.array().cast("array<string>")
+    tokens = lambda c: F.coalesce(without_stopwords(tokenize(c)), none)
+    e = e.withColumn("tokens", F.concat(tokens(F.col("predicate_pid_label")), tokens(F.col("other_qid_label")))).where(F.size("tokens") > 0)
+    order = [F.desc("direction"), F.col("predicate_pid"), F.col("other_qid")]
+    e = e.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("n") <= cap)
+    bows = e.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("n", "tokens"))).alias("l")).select("qid", F.slice(F.flatten("l.tokens"), 1, cap).alias("bow"))
+    return ids.select("qid").distinct().join(bows, "qid", "left").withColumn("bow", F.coalesce("bow", none))
+
+
+def name_texts(label: Column, labels: Column, aliases: Column) -> Column:
+    """struct(labels_text, aliases_text): the secondary labels, and the aliases that are no label, each once."""
+    tidy = lambda a: F.filter(F.array_distinct(F.transform(a, normalize)), lambda x: x != "")
+    second = F.array_except(tidy(labels), F.array(normalize(label)))
+    return F.struct(F.array_join(second, " ").alias("labels_text"), F.array_join(F.array_except(tidy(aliases), F.concat(tidy(labels), F.array(normalize(label)))), " ").alias("aliases_text"))
+
+
 def clean_terms(terms: Column, exclude: Column, cap: int) -> Column:
     return F.slice(F.array_except(F.filter(F.array_distinct(F.transform(terms, lambda x: F.trim(x))), lambda x: x != ""), exclude), 1, cap)
 

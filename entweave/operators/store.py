@@ -33,6 +33,18 @@ def replace_triples(old: DataFrame, subjects: DataFrame, new: DataFrame) -> Data
     return old.join(subjects.select("subject_qid").distinct(), "subject_qid", "left_anti").unionByName(new)
 
 
+def page(df: DataFrame, order: list[str], *, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """The rows from `offset` on, at most `limit`, in a total order."""
+    part = df.orderBy(*order).offset(offset)
+    return part if limit is None else part.limit(limit)
+
+
+def keep_first(df: DataFrame, keys: list[str], arrival: list[str]) -> DataFrame:
+    """Of each key the row that came first."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*arrival)).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest]).select(*df.columns)
+
+
 def expired(df: DataFrame, created: str, now: Column, ttl_seconds: int) -> Column:
     """True for rows past their time; a time of zero or less keeps everything."""
     return F.lit(False) if ttl_seconds <= 0 else F.col(created) < now - F.expr(f"make_dt_interval(0, 0, 0, {int(ttl_seconds)})")

@@ -51,10 +51,11 @@ def t4_language_selection(spark, sf_dir):
     return raw(spark, sf_dir).select(F.col("id").alias("qid"), F.array_join(F.map_values(m), "|").alias("chosen"))
 
 
-@query("WITH" + fx.EDGES_SQL + ", d AS (SELECT s, p, o, row_number() OVER (PARTITION BY s ORDER BY p, o) AS r FROM (SELECT s, p, min(o) AS o FROM edges GROUP BY s, p, o)) SELECT s AS qid, string_agg(o, ' ' ORDER BY r) AS ids FROM d WHERE r <= 32 AND s LIKE 'Q5%' GROUP BY s")
+@query(E + "," + fx.EDGES_SQL + """, c AS (SELECT s, p, o FROM edges UNION ALL SELECT qid, 'P', 'Q5' FROM e WHERE kind = 'customer'), d AS (SELECT s, o, row_number() OVER (PARTITION BY s ORDER BY p, o) AS r FROM (SELECT s, min(p) AS p, o FROM c GROUP BY s, o)),
+i AS (SELECT s, string_agg(o, ' ' ORDER BY r) AS ids FROM d WHERE r <= 32 GROUP BY s) SELECT qid, coalesce(ids, '') AS ids FROM e LEFT JOIN i ON s = qid""")
 def t7_claim_object_ids(spark, sf_dir):
-    r = raw(spark, sf_dir).where(F.col("id").startswith("Q5"))
-    return r.select(F.col("id").alias("qid"), F.array_join(P.all_claim_ids(F.col("claims"), 32), " ").alias("ids")).where("ids <> ''")
+    none = F.array().cast("array<string>")
+    return raw(spark, sf_dir).select(F.col("id").alias("qid"), F.array_join(F.coalesce(P.all_claim_ids(F.col("claims"), 32), none), " ").alias("ids"))
 
 
 @query(E + " SELECT qid, CASE WHEN popularity > 0 THEN 'enwiki' END AS site, CASE WHEN popularity > 0 THEN label END AS title FROM e")
@@ -121,10 +122,12 @@ def g8_even_sample(spark, sf_dir):
     return G.even_sample(fx.load(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 97)
 
 
-@query(G_SQL + ", x AS (SELECT 'Q' || (2000000 + n_nationkey) AS qid FROM nation) SELECT qid, 'out' AS direction, p AS predicate_pid, o AS other_qid FROM x JOIN triples ON s = qid UNION ALL SELECT qid, 'in', p, s FROM x JOIN triples ON o = qid")
+@query(E + "," + fx.SCORED_SQL + ", n AS (SELECT s AS qid, 'out' AS direction, p AS predicate_pid, o AS other_qid FROM triples UNION ALL SELECT o, 'in', p, s FROM triples) SELECT e.qid, direction, predicate_pid, other_qid FROM (SELECT qid FROM e UNION ALL SELECT 'Q9') e LEFT JOIN n USING (qid)")
 def j3_neighbourhood(spark, sf_dir):
-    ids = fx.load(spark, sf_dir, "nation").select(fx.qid("nation", "n_nationkey").alias("qid"))
-    return G.neighbours(ids, fx.triples(spark, sf_dir)).where("direction is not null")
+    """Edges of every entity in both directions; ids without edges keep a row."""
+    e = fx.entity_table(spark, sf_dir)
+    ids = e.select("qid").unionByName(spark.range(1).select(F.lit("Q9").alias("qid")))
+    return G.neighbours(ids, fx.triples(spark, sf_dir, e))
 
 
 @query(G_SQL + " SELECT s AS qid, string_agg(DISTINCT o, ' ' ORDER BY o) AS objects FROM triples GROUP BY s")

@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import decision_queries, file_queries, ingest_queries, lookup_queries, store_queries, table_queries, text_queries  # noqa: E402,F401
+from . import decision_queries, file_queries, ingest_queries, lookup_queries, record_queries, store_queries, table_queries, text_queries  # noqa: E402,F401

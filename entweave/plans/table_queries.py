@@ -180,7 +180,7 @@ def pp2_pp3_weights(spark, sf_dir):
     return soft.unionByName(s.select("table_id", "row_id", F.explode("variants").alias("x")).select("table_id", "row_id", F.col("x.text").alias("value"), "x.weight"))
 
 
-@query(SCHEMA + " SELECT table_id, row_id, lookup_mention, array_to_string(CASE WHEN len(terms) > 0 THEN terms ELSE list_distinct(list_concat(other, samples)) END, '|') AS lookup_context FROM pl")
+@query(SCHEMA + " SELECT table_id, row_id, lookup_mention, array_to_string(CASE WHEN len(terms) > 0 THEN terms ELSE list_filter(list_concat(other, samples), lambda x, i: list_position(list_concat(other, samples), x) = i) END, '|') AS lookup_context FROM pl")
 def pp14_payload(spark, sf_dir):
     return T.payload(schema(spark, sf_dir)).select("table_id", "row_id", "lookup_mention", F.array_join("lookup_context", "|").alias("lookup_context"))
 
