@@ -206,9 +206,85 @@ def test_streamed_upsert_is_the_batch_upsert(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         incremental.keep_upserted(incremental.changed_files(spark, src, schema), out, ["k"], "t", cp).awaitTermination()
     assert sorted(map(tuple, incremental.snapshot(spark, out).collect())) == [("a", 2, 2), ("b", 1, 1), ("c", 9, 1)]
+    for v in range(3, 6):  # versions that nothing needs any more go
+        spark.createDataFrame([("a", v, v)], schema).coalesce(1).write.mode("append").parquet(src)
+        incremental.keep_upserted(incremental.changed_files(spark, src, schema), out, ["k"], "t", cp).awaitTermination()
+    assert sorted(map(tuple, incremental.snapshot(spark, out).collect())) == [("a", 5, 5), ("b", 1, 1), ("c", 9, 1)]
+    from pathlib import Path
+
+    assert len(list(Path(out, "manifest").glob("v=*"))) == 2 and len(list(Path(out, "data").glob("v=*"))) <= 4
 
 
 def test_registered_queries_have_names_and_sql():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 70
+
+
+def test_arguments():
+    import pytest
+
+    from entweave import arguments as a
+
+    assert a.languages("EN, it,,en") == ["en", "it"] and a.item_ids("q5, Q42\nq5") == ["Q5", "Q42"] and a.entity_ids("P31,Q1") == ["P31", "Q1"]
+    for bad in (lambda: a.languages(" ,"), lambda: a.languages("e_n"), lambda: a.item_ids("P31"), lambda: a.entity_ids("q1"), lambda: a.item_ids("Q01"), lambda: a.one_selector(ids=None, count=None), lambda: a.one_selector(ids=["Q1"], count=3), lambda: a.identifier("a; drop"), lambda: a.first_existing([])):
+        with pytest.raises((ValueError, FileNotFoundError)):
+            bad()
+    assert a.one_selector(ids=None, count=0) == "count" and a.identifier("x.y_1") == "x.y_1"
+    assert a.merged({"a": {"b": 1, "c": 2}, "d": 1}, {"a": {"b": 3}, "d": {"e": 1}}) == {"a": {"b": 3, "c": 2}, "d": {"e": 1}}
+
+
+def test_dump_lines_have_numbers(spark, tmp_path):
+    import gzip
+
+    import pytest
+
+    from entweave.sources import subset
+
+    good = [json.dumps({"id": f"Q{i}", "labels": {"en": {"value": f"l{i}"}}}) + "," for i in range(1, 40)]
+    for name, opened in (("a.json", open), ("b.json.gz", gzip.open)):
+        with opened(tmp_path / name, "wt") as f:
+            f.write("[\n" + "\n".join(good) + "\n\n12,\n]\n")
+    lines = subset.numbered_lines(spark, str(tmp_path / "*.json*")).collect()
+    assert {(x.file.rsplit("/", 1)[1], x.line_no) for x in lines} == {(n, i) for n in ("a.json", "b.json.gz") for i in range(1, 44)}
+    assert all(x.value == good[x.line_no - 2] for x in lines if 2 <= x.line_no <= 40)
+    one_file = subset.numbered_lines(spark, str(tmp_path / "a.json"))
+    assert [x.id for x in dump.parse(one_file, limit=3).orderBy("line_no").collect()] == ["Q1", "Q2", "Q3"]
+    assert subset.estimated_records(spark, str(tmp_path / "a.json")) == 40 and subset.estimated_records(spark, str(tmp_path / "b.json.gz"), limit=7) == 7
+    (tmp_path / "bad.txt").write_text("[\n{\"id\": \"Q1\"},\n{broken\n")
+    with pytest.raises(Exception, match="no JSON: line 3 of .*bad.txt"):
+        dump.parse(subset.numbered_lines(spark, str(tmp_path / "bad.txt"))).count()
+
+
+def test_benchmark_folders_and_arrays(spark, tmp_path):
+    import pytest
+
+    from entweave import sinks
+    from entweave.sources import subset
+
+    for d, sub, name in (("b", "target", "cta_target.csv"), ("a", "targets", "CTA_2T_WD_targets.csv")):
+        (tmp_path / "root" / d / sub).mkdir(parents=True)
+        (tmp_path / "root" / d / sub / name).write_text("")
+    assert subset.dataset_ids(str(tmp_path / "root")) == ["a", "b"] and subset.dataset_files(str(tmp_path / "root"), "a")["cta_targets"].endswith("CTA_2T_WD_targets.csv")
+    with pytest.raises(FileNotFoundError):
+        subset.dataset_files(str(tmp_path / "root"), "c")
+    docs = spark.range(57).selectExpr("id", "to_json(struct(id)) as j").repartition(4)
+    sinks.write_dump_array(docs, "j", ["id"], str(tmp_path / "array"))
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "array").glob("part-*")))
+    assert json.loads(whole) == [{"id": i} for i in range(57)]
+
+
+def test_cells_without_candidates_are_left_open(spark):
+    cells = spark.createDataFrame([("t", 1, 0), ("t", 2, 0)], "table_id string, row_id long, col_id int")
+    from entweave.operators import resolution, triggers
+    from entweave.plans import decision_queries as q
+
+    ranked = rerank.rerank(q.candidates(spark, "/root/testdata/sf0.001").where("k = 1").drop("t", "k").withColumns({"table_id": F.lit("t"), "row_id": F.lit(1).cast("long"), "col_id": F.lit(0)}))
+    d = rerank.decide(ranked, targets=cells)
+    rows = {x.row_id: x for x in d.collect()}
+    assert rows[2].abstain and rows[2].reason_codes == ["no_candidates"] and rows[2].confidence == 0 and rows[1].selected_qid
+    nothing = spark.createDataFrame([], "table_id string, row_id long, col_id int, should_run boolean, reason_codes array<string>")
+    kept = resolution.resolve(d, ranked, nothing, nothing).collect()
+    assert {x.resolution_mode for x in kept} == {"deterministic_only"} and len(kept) == 2
+    none = triggers._without_candidates(d, rerank.CELL).first()
+    assert none.row_id == 2 and not none.should_run and none.reason_codes == ["no_candidates"]
