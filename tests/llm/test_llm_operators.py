@@ -578,6 +578,65 @@ def test_language_id(spark, docs, empty):
     assert set(a) == set(b) and n.sum() > 190 * m.sum()
 
 
+def test_language_distances_are_out_of_place_sums():
+    """Rank lists, distances and scores by dictionaries and loops."""
+    r = random.Random(31)
+
+    def grams(text):
+        count = {}
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            framed = f" {w} "
+            for n in (1, 2, 3):
+                for i in range(len(framed) - n + 1):
+                    g = framed[i : i + n]
+                    if g.strip() and (n < 3 or g[1] != " "):
+                        count[g] = count.get(g, 0) + 1
+        return count
+
+    packed = lambda g: sum((0 if c == " " else ord(c)) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+    top = lambda count, n: sorted((packed(g) for g in count), key=lambda p: (-{packed(g): c for g, c in count.items()}[p], p))[:n]
+    text = lambda k: " ".join(word(r) for _ in range(k))
+    profiles = {lang: top(grams(text(60)), 40) for lang in ("xx", "yy", "zz")}
+    judge = language_id.Judge(profiles, 40)
+    for k in (1, 3, 40, 200):
+        t = text(k) + ", 12 ÉA!"
+        own = top(grams(t), language_id.DOC_PROFILE)
+        away = {lang: sum(min(abs(p.index(g) - i), 40) if g in p else 40 for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        assert judge(t) == (best, pytest.approx(1 - away[best] / (40 * len(own))))
+
+
+def test_quality_steps_follow_the_gradient():
+    """One step of one document against differences of the loss; and scores against the mean of embeddings by hand."""
+    texts, labels = ["ab cd ab", "Xy 12, zz!"], [1, 0]
+    rows = [np.concatenate(list(quality_classifier.feature_rows(t, 64))) for t in texts]
+    dim = 3
+    rng = np.random.default_rng(11)
+    emb = rng.uniform(-1 / dim, 1 / dim, (64, dim)).astype(np.float32).astype(np.float64)
+    out = rng.normal(0, 0.1, (2, dim)).astype(np.float32).astype(np.float64)
+    rng.permutation(2)
+
+    def loss(e, o, b):
+        total = 0.0
+        for r, y in zip(rows, labels):
+            z = e[r].mean(0) @ o.T + b
+            total += np.log(np.exp(z).sum()) - z[y]
+        return total / 2
+
+    model = quality_classifier.train_numpy(texts, labels, buckets=64, dim=dim, epochs=1)
+    step, h = 2.0, 1e-6
+    grad = lambda f, x: np.array([(f(x + h * d) - f(x - h * d)) / (2 * h) for d in np.eye(x.size).reshape(-1, *x.shape)]).reshape(x.shape)
+    bias = np.zeros(2)
+    new_out, new_bias = out - step * grad(lambda o: loss(emb, o, bias), out), bias - step * grad(lambda b: loss(emb, out, b), bias)
+    new_emb = emb - step * 2 * grad(lambda e: loss(e, out, bias), emb)  # embeddings take each document's own step
+    assert np.allclose(model.row_logit, new_emb @ (new_out[1] - new_out[0]), atol=1e-3) and abs(model.bias - (new_bias[1] - new_bias[0])) < 1e-3
+    for t, r in zip(texts, rows):
+        assert model.score(t) == pytest.approx(1 / (1 + np.exp(-(model.bias + model.row_logit[r].mean()))), abs=1e-6)
+    long = "ab cd, Ef 12 " * 60_000  # several blocks
+    parts = [p for p in quality_classifier.feature_rows(long)]
+    assert len(parts) > 2 and abs(model.score(long) - model.score("ab cd, Ef 12 " * 300)) < 1e-2
+
+
 def test_quality(spark):
     r = random.Random(10)
     make = {1: lambda: " ".join(word(r) for _ in range(40)), 0: lambda: " ".join(w for w in (word(r) for _ in range(15)) for _ in range(4)).upper()}
@@ -592,6 +651,63 @@ def test_quality(spark):
     assert all(x.score == pytest.approx(1, abs=1e-6) for x in none)
 
 
+def test_suffix_dedup_of_texts_over_a_block(spark):
+    """A passage on both sides of a block's end, and a text longer than a block that repeats itself."""
+    r = random.Random(17)
+    passage = "".join(r.choice("abcdefghij ") for _ in range(700))
+    filler = "".join(r.choice("klmnopqrstuvwxyz") for _ in range(suffix_dedup.TEXT_BLOCK - 350))
+    texts = {1: passage, 2: filler + passage + "end", 3: filler[:1000]}
+    got = by_id(suffix_dedup.dedup_suffixes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert (got[1].n_removed, got[2].n_removed, got[2].n_spans, got[3].n_removed) == (0, 700, 1, 1000)
+    assert bytes(got[2].kept).decode() == filler + "end" and got[2].n_bytes == len(texts[2])
+
+
+def test_columns_that_clash_pass_through(spark):
+    text = "\n".join(f"{w} one two three four five six seven eight" for w in ("A", "B", "C", "D"))
+    odd = ["_id", "_cut", "_at", "words", "bin", "task", "_carried_1", "component", "k1"]
+    rows = [(i, text, *[f"{c}{i}" for c in odd], i) for i in (1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in odd) + ", n_removed long")
+    for done, removed in ((line_dedup.dedup_lines(docs), 4), (substring_dedup.dedup_substrings(docs), 4)):
+        got = {x.doc_id: x for x in done.collect()}
+        assert got[2].text == "" and got[2].n_removed == removed and got[1].text == text
+        assert all(got[i][c] == f"{c}{i}" for i in (1, 2) for c in odd)
+    assert {(x.doc_id, x.kept) for x in minhash.near_duplicates(docs).collect()} == {(1, True), (2, False)}
+    assert {x.doc_id for x in decontaminate.matches(docs, spark.createDataFrame([(1, text, "w")], "item_id long, text string, words string")).collect()} == {1, 2}
+
+
+def test_written_tables_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from entweave.llm import common
+
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    cluster = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        common.shared_dir(cluster)
+    assert common.shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: "hdfs:///shared/"))) == "hdfs:///shared"
+
+
+def test_pipeline_of_empty_tables_and_further_columns(spark, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    extra = ["_id", "_cut", "n_removed", "n_lines", "quality_score", "words", "item_id", "_carried_0"]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    line = "one two three four five six seven"
+    rows = [(i, f"{line} {i}\nshared a\nshared b\nshared c", 0, *[f"{c}{i}" for c in extra]) for i in (1, 2)] + [(3, None, None, *[None] * 8), (None, "x", 1, *["e"] * 8)]
+    docs = spark.createDataFrame(rows, schema)
+    for stage in (p.quality_stage, p.line_stage, p.near_stage, p.leak_stage):
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        kept = {x.doc_id: x for x in got.collect()}
+        assert set(kept) == {1, 2, 3, None} and all(kept[i][c] == f"{c}{i}" for i in (1, 2) for c in extra)
+        if stage is p.line_stage:
+            assert kept[2].text == f"{line} 2" and kept[2].n_chars == len(kept[2].text)
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0
+
+
 def test_empty_tables(spark, empty):
     for df in (minhash.op2(empty), suffix_dedup.op3(empty), substring_dedup.op1(empty), line_dedup.op4(empty), packing.op7(empty), language_id.op9(empty)):
         assert df.count() == 0
