@@ -48,13 +48,13 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     grams, counts = [], []
     for at in range(0, len(codes), BLOCK):
-        c = codes[at : at + BLOCK + 2]
+        c = codes[at : at + BLOCK + 2] + 1  # no sign is 0, so an n-gram that begins with a blank differs from the shorter one
         own = min(BLOCK, len(codes) - at)
         pair = (c[:-1] << 21) | c[1:]
         triple = (pair[:-1] << 21) | c[2:]
         parts = [c[:own], pair[:own], triple[:own]]
-        parts[0] = parts[0][parts[0] != 0]
-        parts[2] = parts[2][(parts[2] >> 21) & 0x1FFFFF != 0]  # no blank in the middle
+        parts[0] = parts[0][parts[0] != 1]
+        parts[2] = parts[2][(parts[2] >> 21) & 0x1FFFFF != 1]  # no blank in the middle
         g, n = np.unique(np.concatenate(parts), return_counts=True)
         grams.append(g)
         counts.append(n)

@@ -593,7 +593,7 @@ def test_language_distances_are_out_of_place_sums():
                         count[g] = count.get(g, 0) + 1
         return count
 
-    packed = lambda g: sum((0 if c == " " else ord(c)) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+    packed = lambda g: sum((1 if c == " " else ord(c) + 1) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
     top = lambda count, n: sorted((packed(g) for g in count), key=lambda p: (-{packed(g): c for g, c in count.items()}[p], p))[:n]
     text = lambda k: " ".join(word(r) for _ in range(k))
     profiles = {lang: top(grams(text(60)), 40) for lang in ("xx", "yy", "zz")}
@@ -624,10 +624,10 @@ def test_quality_steps_follow_the_gradient():
         return total / 2
 
     model = quality_classifier.train_numpy(texts, labels, buckets=64, dim=dim, epochs=1)
-    step, h = 2.0, 1e-6
+    step, h = 2.0, 1e-6  # the layer and bias take the batch's sum over its full size of 16, here of two documents
     grad = lambda f, x: np.array([(f(x + h * d) - f(x - h * d)) / (2 * h) for d in np.eye(x.size).reshape(-1, *x.shape)]).reshape(x.shape)
     bias = np.zeros(2)
-    new_out, new_bias = out - step * grad(lambda o: loss(emb, o, bias), out), bias - step * grad(lambda b: loss(emb, out, b), bias)
+    new_out, new_bias = out - step * 2 / 16 * grad(lambda o: loss(emb, o, bias), out), bias - step * 2 / 16 * grad(lambda b: loss(emb, out, b), bias)
     new_emb = emb - step * 2 * grad(lambda e: loss(e, out, bias), emb)  # embeddings take each document's own step
     assert np.allclose(model.row_logit, new_emb @ (new_out[1] - new_out[0]), atol=1e-3) and abs(model.bias - (new_bias[1] - new_bias[0])) < 1e-3
     for t, r in zip(texts, rows):
