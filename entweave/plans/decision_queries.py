@@ -21,13 +21,14 @@ QID = "concat('Q', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey
 
 #: candidate column -> SQL over lineitem, which Spark and the checks read alike
 CANDIDATE = {
-    "t": "l_orderkey % 5", "k": "l_orderkey", "qid": QID, "label": "concat('part ', l_partkey % 3)",
+    "t": "l_orderkey % 5", "k": "l_orderkey", "qid": QID, "label": "concat('part ', l_partkey % 3, CASE l_suppkey % 4 WHEN 0 THEN ' old' WHEN 1 THEN ' old red blue' ELSE '' END)",
     "final_score": "CAST(l_quantity AS BIGINT) / 3.0e0 + l_suppkey % 4 / 4.0e0", "es_score": "CAST(l_quantity AS BIGINT) * 1.5e0", "prior": "l_partkey % 100 / 100.0e0",
     "family_group": "CASE l_partkey % 4 WHEN 0 THEN concat('g', l_partkey % 8) END", "item_category": "'ENTITY'", "coarse_type": "CASE l_suppkey % 3 WHEN 0 THEN 'PERSON' ELSE 'WORK' END", "fine_type": "CASE l_suppkey % 2 WHEN 0 THEN 'FILM' ELSE 'BOOK' END",
     "same_type_resolver_score": "CAST(l_quantity AS BIGINT) / 3.0e0 + l_partkey % 7 - 3.0e0", "best_name_similarity": "l_suppkey % 50 / 50.0e0", "label_exact": "l_partkey % 11 = 0", "alias_exact": "l_partkey % 7 = 0", "label_prefix": "l_partkey % 5 = 0", "label_contains": "l_partkey % 3 = 0",
     "coarse_match": "l_partkey % 2 = 0", "fine_match": "l_partkey % 4 = 0", "item_category_match": "l_suppkey % 9 > 0", "weighted_context_overlap": "CAST(l_quantity AS BIGINT) % 7 / 2.0e0", "expected_descriptor_overlap": "l_partkey % 3",
     "schema_family_match": "l_suppkey % 2 = 0", "column_role_match": "l_suppkey % 3 = 0", "row_template_alignment": "l_suppkey % 10 / 10.0e0", "has_wikipedia": "l_partkey % 2 = 1",
     "candidate_family": "CASE l_partkey % 6 WHEN 5 THEN 'CREATIVE_WORK' WHEN 4 THEN 'DERIVATIVE_TOPIC' ELSE 'PRIMARY' END", "primary_entity_score": "l_partkey % 9 / 9.0e0", "derivative_penalty": "l_suppkey % 4 * 1.0e0",
+    "description": "CASE l_partkey % 13 WHEN 0 THEN 'A list of things' ELSE 'a thing' END", "context_string": "''", "wikipedia_url": "''", "unsupported_qualifier_count": "CASE l_partkey % 17 WHEN 0 THEN 1 ELSE 0 END", "label_has_parenthetical_qualifier": "l_partkey % 19 = 0",
     "mention_token_coverage": "l_partkey % 10 / 10.0e0", "label_context_support_score": "l_suppkey % 20 / 20.0e0",
 }
 NUMBERS = ("final_score", "es_score", "prior", "same_type_resolver_score", "best_name_similarity", "weighted_context_overlap", "row_template_alignment", "primary_entity_score", "derivative_penalty", "mention_token_coverage", "label_context_support_score")
@@ -214,6 +215,53 @@ def e3_error_families(spark, sf_dir):
     return r.select("k", "correct", V.error_family(r).alias("family")).where("not correct").select("k", "family")
 
 
+TOPS = DECIDE + """,
+tp AS (SELECT t, k, list({'label': label, 'norm': label, 'item_category': item_category, 'coarse_type': coarse_type, 'fine_type': fine_type, 'family': candidate_family, 'final': final_score, 'prior': prior, 'sim': best_name_similarity, 'align': row_template_alignment, 'fam_ok': schema_family_match, 'role_ok': column_role_match,
+  'wco': weighted_context_overlap, 'descr': expected_descriptor_overlap, 'cov': mention_token_coverage, 'sup': label_context_support_score, 'unsup': unsupported_qualifier_count, 'pen': derivative_penalty, 'paren': label_has_parenthetical_qualifier, 'stub': description LIKE '%list of%',
+  'extra': CASE WHEN label LIKE '%blue' THEN 3 WHEN label LIKE '%old' THEN 1 ELSE 0 END} ORDER BY reranked_rank) AS c FROM rk WHERE reranked_rank <= 25 GROUP BY 1, 2),
+j AS (SELECT de.* EXCLUDE (codes), c, c[1] AS top, c[2] AS sec, c[1:5] AS c5 FROM de JOIN tp USING (t, k))"""
+
+
+def with_tokens(ranked_: DataFrame) -> DataFrame:
+    return ranked_.withColumns({"label_tokens": X.lab_tokens("label"), "mention_tokens": F.array(F.lit("part"))})
+
+
+def _trigger(df: DataFrame) -> DataFrame:
+    return df.select("k", "should_run", F.array_join("reason_codes", ",").alias("reasons"))
+
+
+@query(TOPS + """,
+a AS (SELECT *, NOT abstain AND confidence >= 0.84 AND margin >= 2.5 AS sure, NOT abstain AND top.family = 'PRIMARY' AND NOT coalesce(top.norm = sec.norm, false) AS alone, (abstain OR margin < 1.5 OR confidence < 0.78) AND len(c5) > 1 AS several FROM j),
+b AS (SELECT *, CASE WHEN sure THEN 'strong_deterministic_decision' WHEN alone AND ((top.sim >= 0.84 AND confidence >= 0.7) OR (top.sim >= 0.76 AND confidence >= 0.66 AND margin >= 1.5) OR (top.fam_ok AND top.role_ok AND top.align >= 0.35 AND confidence >= 0.74)) THEN 'strong_fuzzy_deterministic_decision'
+  WHEN alone AND top.sim >= 0.9 AND confidence >= 0.8 THEN 'confident_non_clustered_deterministic_decision' END AS stop,
+  list_filter([CASE WHEN abstain THEN 'deterministic_abstain' END, CASE WHEN margin < 2 THEN 'low_margin' END, CASE WHEN confidence < 0.78 THEN 'low_confidence' END, CASE WHEN several AND len(list_distinct(list_transform(c5, lambda x: x.label))) = 1 THEN 'same_label_cluster' END,
+    CASE WHEN several AND len(list_distinct(list_transform(c5, lambda x: x.coarse_type || x.fine_type))) = 1 THEN 'same_type_cluster' END, CASE WHEN several AND len(list_filter(c5, lambda x: x.family <> 'PRIMARY')) = 0 THEN 'primary_family_competition' END], lambda x: x IS NOT NULL) AS codes FROM a)
+SELECT k, stop IS NULL AND len(codes) > 0 AS should_run, coalesce(stop, array_to_string(codes, ',')) AS reasons FROM b""")
+def d2_semantic_rules(spark, sf_dir):
+    """When the semantic fallback is asked for, and why (not)."""
+    r, d = judged(spark, sf_dir)
+    return _trigger(V.semantic_trigger(with_tokens(r), d, KEYS))
+
+
+@query(TOPS + """,
+s AS (SELECT *, c[2:25] AS rest, c[1:12] AS near FROM j),
+m AS (SELECT *, list_filter(rest, lambda x: x.norm = top.norm) AS twins, len(list_filter(near, lambda x: x.coarse_type = top.coarse_type AND x.fine_type = top.fine_type)) AS alike, len(list_filter(near[2:12], lambda x: top.final - x.final < 2.5)) > 0 AS close,
+  list_filter(rest, lambda x: x.coarse_type = top.coarse_type AND x.fine_type = top.fine_type AND x.cov >= greatest(0.6, top.cov - 0.05::DOUBLE) AND top.final - x.final < 4.5) AS labels,
+  top.prior < 0.2 AND len(list_filter(rest, lambda x: x.prior >= 0.35 AND ((x.coarse_type = top.coarse_type AND x.fine_type = top.fine_type) OR x.sim >= 0.75 OR ends_with(x.norm, top.norm)))) > 0 AS modest, top.unsup > 0 OR top.pen >= 1 OR top.paren OR top.stub AS odd FROM s),
+n AS (SELECT *, len(twins) > 0 AS twin, len(list_filter(twins, lambda x: x.prior >= top.prior + 0.18::DOUBLE OR x.wco > top.wco + 0.5)) > 0 AS conflict,
+  len(list_filter(labels, lambda x: top.extra >= 2 AND x.extra < top.extra AND (x.prior >= top.prior + 0.12::DOUBLE OR x.sup >= top.sup + 0.08::DOUBLE OR x.descr > top.descr))) > 0 AS cleaner,
+  len(list_filter(labels, lambda x: top.extra = 0 AND top.cov >= 0.95 AND x.extra <= 3 AND x.descr > top.descr AND (x.prior >= top.prior + 0.12::DOUBLE OR x.sup >= top.sup + 0.08::DOUBLE OR x.wco >= top.wco + 0.35::DOUBLE))) > 0 AS thin, margin < 2 AS narrow FROM m),
+o AS (SELECT *, list_filter([CASE WHEN abstain THEN 'deterministic_abstain' END, CASE WHEN narrow AND (abstain OR twin OR odd OR modest OR confidence < 0.78) THEN 'low_margin' END, CASE WHEN confidence < 0.75 AND (narrow OR abstain OR close) THEN 'low_confidence' END,
+  CASE WHEN twin AND (narrow OR conflict OR modest OR abstain) THEN 'same_label_cluster' END, CASE WHEN alike > 2 AND close AND (abstain OR confidence < 0.75 OR odd OR modest OR cleaner OR thin) THEN 'same_type_cluster' END, CASE WHEN cleaner THEN 'cleaner_label_competitor' END, CASE WHEN thin THEN 'underspecified_label_competitor' END,
+  CASE WHEN conflict THEN 'authority_conflict' END, CASE WHEN modest AND (twin OR close OR narrow OR odd) THEN 'low_authority_top_candidate' END, CASE WHEN odd THEN 'derivative_or_unsupported_candidate' END, CASE WHEN top.stub THEN 'list_or_disambiguation_candidate' END,
+  CASE WHEN close AND (twin OR modest OR odd OR abstain OR cleaner OR thin) THEN 'close_competitor' END], lambda x: x IS NOT NULL) AS codes FROM n)
+SELECT k, len(codes) > 0 AS should_run, CASE WHEN len(codes) = 0 AND confidence >= 0.9 AND margin >= 3 THEN 'strong_unambiguous_deterministic_decision' ELSE array_to_string(codes, ',') END AS reasons FROM o""")
+def d3_ambiguity_rules(spark, sf_dir):
+    """When the adjudicator of hard ambiguities is asked for: twelve reasons in their order."""
+    r, d = judged(spark, sf_dir)
+    return _trigger(V.ambiguity_trigger(with_tokens(r), d, KEYS))
+
+
 SEARCH = """WITH d AS (SELECT p_partkey, p_brand AS coarse_type, CASE p_partkey % 2 WHEN 0 THEN 'EVEN' ELSE 'ODD' END AS fine_type, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS l, regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+') AS ls, regexp_extract_all(lower(p_brand), '[a-z0-9]+') AS al, regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z0-9]+') AS cx, [lower(p_name)] AS kw FROM part),
 fl AS (SELECT p_partkey, 'label' AS f, l AS ts FROM d UNION ALL SELECT p_partkey, 'labels', ls FROM d UNION ALL SELECT p_partkey, 'aliases', al FROM d UNION ALL SELECT p_partkey, 'context', cx FROM d UNION ALL SELECT p_partkey, 'keyword', kw FROM d),
 po AS (SELECT f, p_partkey, len(ts) AS dl, unnest(ts) AS tok, generate_subscripts(ts, 1) AS pl FROM fl),
