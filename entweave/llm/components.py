@@ -1,6 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Only DataFrames move; every round is written to the shared folder, so a lost executor never costs more than a round."""
+Only DataFrames move; every round is written to the shared folder, so a lost executor never costs more than a round.
+
+Defined results: null ends and loops are passed over, repeated edges count once; without edges there are no rows."""
 
 from __future__ import annotations
 

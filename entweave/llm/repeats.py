@@ -1,4 +1,6 @@
-"""Which keyed places of documents repeat an earlier place: shared by the substring and line operators."""
+"""Which keyed places of documents repeat an earlier place: shared by the substring and line operators.
+
+Defined results: a place that is given twice isn't its own copy; equal keys in one document count by place; without places there are no rows."""
 
 from __future__ import annotations
 
