@@ -8,8 +8,7 @@ from pathlib import Path
 
 _LANGUAGE = re.compile(r"[a-z][a-z0-9-]*")
 _QID, _ENTITY = re.compile(r"Q[1-9][0-9]*"), re.compile(r"[QP][1-9][0-9]*")
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
-UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
+_NAME = re.compile(r"[^\W\d]\w*", re.ASCII)
 
 
 def _each(raw: str, fold: Callable[[str], str], ok: re.Pattern, complaint: str) -> list[str]:

@@ -287,7 +287,7 @@ def water_policy(schema: DataFrame) -> DataFrame:
     known = F.exists("variants", lambda v: X.casefold(v["text"]) == X.casefold(lake))
     variants = F.when(named | known, F.col("variants")).otherwise(F.concat(F.array(_variant(lake, 0.92, 0.96, "table_profile_policy")), F.col("variants")))
     said = F.transform("soft", lambda s: X.casefold(s["value"]))
-    terms = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(0.9).alias("confidence"), F.lit(w).alias("weight"), F.lit("table_profile_policy").alias("source")) for v, w in (("lake", 0.85), ("body of water", 0.75), ("freshwater lake", 0.7))])
+    terms = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(0.9).alias("confidence"), F.lit(w).alias("weight"), F.lit("table_profile_policy").alias("source")) for v, w in {"lake": 0.85, "body of water": 0.75, "freshwater lake": 0.7}.items()])
     soft = F.concat("soft", F.filter(terms, lambda t: ~F.array_contains(said, t["value"])))
     forced = {"item_filters": ["ENTITY"], "coarse_hints": ["LOCATION"], "fine_hints": ["LANDMARK"]}
     changed = {"hypotheses": hypotheses_, "variants": variants, "soft": soft, "plan": hypothesis_plan(F.array(first)), **{k: X.words_array(v) for k, v in forced.items()}}

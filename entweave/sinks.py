@@ -62,7 +62,7 @@ def readable_bytes(n: Column) -> Column:
     """B without decimals, KB to PB with two."""
     v = F.greatest(F.coalesce(n.cast("double"), F.lit(0.0)), F.lit(0.0))
     out = F.format_string("%.2f PB", v / 1024.0**5)
-    for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
+    for k, unit in reversed(list(enumerate("B KB MB GB TB".split()))):
         shown = F.concat(F.floor(v).cast("string"), F.lit(" B")) if k == 0 else F.format_string(f"%.2f {unit}", v / 1024.0**k)
         out = F.when(v < 1024.0 ** (k + 1), shown).otherwise(out)
     return out
