@@ -17,7 +17,7 @@ E = "WITH" + fx.E_SQL
 
 
 def raw(spark, sf_dir):
-    return P.parse(fx.dump_lines(spark, sf_dir))
+    return P.parse(fx.dump_text(spark, sf_dir))
 
 
 @query(E + " SELECT qid, coalesce(aliases[1], '') AS first_alias, '' AS none, array_to_string(aliases, '|') AS any_language FROM e")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import prior
 from ..operators.graph import best_edges, prune, score_edges, subject_profiles
-from ..scratch import written
+from ..scratch import fresh_path, written
 
 OFFSETS = {"region": 1_000_000, "nation": 2_000_000, "supplier": 3_000_000, "customer": 4_000_000, "part": 5_000_000}
 
@@ -149,6 +149,13 @@ def dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.unionByName(extra)
 
 
+def dump_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dump as text files: what reads it is planned apart from what makes it."""
+    path = fresh_path(spark, "dump")
+    dump_lines(spark, sf_dir).write.text(path)
+    return spark.read.text(path)
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of parts, their first words, and nation names, each asked for once; context is the part types of that name."""
     p = load(spark, sf_dir, "part")

@@ -14,7 +14,7 @@ G_SQL = "WITH" + fx.SCORED_SQL
 
 
 def raw(spark, sf_dir):
-    return P.parse(fx.dump_lines(spark, sf_dir))
+    return P.parse(fx.dump_text(spark, sf_dir))
 
 
 @query("WITH" + fx.E_SQL + "," + fx.EDGES_SQL + ", c AS (SELECT s, count(DISTINCT p) AS n FROM edges GROUP BY s) SELECT qid, coalesce(n, 0) + (kind = 'customer')::INT AS n_properties, CAST(popularity AS BIGINT) AS n_sites FROM e LEFT JOIN c ON s = qid")
