@@ -6,8 +6,9 @@ previous and next smaller positions.  A byte goes if a position with LPF >= leng
 
 1. In every window of `length` bytes the k-byte string of the smallest hash, its minimizer, is found.  Equal windows
    have equal minimizers, so windows whose minimizer occurs once in the corpus can't repeat and are done with.
-2. Neighbouring windows with one minimizer form a segment.  Segments whose minimizer occurs again are brought together
-   by the minimizer's hash.  Segments of equal bytes are collapsed first: all but the earliest repeat entirely.
+2. Neighbouring windows with one minimizer form a segment.  Segments meet by the minimizer's hash, as 128-bit hashes and places.
+   Those of equal bytes are collapsed there: all but the earliest repeat entirely.  Only segments whose minimizer occurs
+   in a distinct one too, or twice in their text, are cut from the texts and brought together as bytes.
 3. Each task orders the suffixes of its distinct segments (prefix doubling by numpy, as deep as `length` bytes), finds
    the previous and next smaller position of each and computes its LPF (see longest_previous).
 4. Where one minimizer gathers more than a task should order, its segments are cut by longer minimizers, in the task beyond
@@ -26,15 +27,16 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches
+from .common import written as kept_table
 from .repeats import later_copies
 
 LENGTH = 100
 GRAM = 32
-HOT_BYTES = 16 << 20  # of segments of one minimizer, before equal ones collapse
+HOT_BYTES = 16 << 20  # of distinct segments of one minimizer
 SORT_BYTES = 4 << 20
 TEXT_BLOCK = 1 << 20  # bytes looked at at once
 TASK_BYTES = 1 << 20  # segment bytes sorted at once
@@ -204,6 +206,17 @@ def _ranges(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table; the shuffle files that writing it took go at once, not when the driver collects its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return kept_table(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def repeated_starts(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_BYTES) -> DataFrame:
     """doc_id, lo, hi: runs of positions (hi excluded) at which a string of `length` bytes starts that starts earlier too."""
     spark = docs.sparkSession
@@ -211,21 +224,34 @@ def repeated_starts(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def mark(batches):
+        digest = xxhash.xxh3_128_digest
         for b in batches:
-            ids, heads, spans = [], [], []
+            ids, heads, keys, places, flags = [], [], [], [], []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                h, f, e, t = segments(text.encode("utf-8", "surrogatepass"), length, gram)
-                ids.append(np.full(len(h), doc_id))
+                raw = text.encode("utf-8", "surrogatepass")
+                h, f, e, t = segments(raw, length, gram)
+                ids.append(np.full(len(h), doc_id, np.int64))
                 heads.append(h)
-                # place (31 bits), windows (up to TEXT_BLOCK: 21 bits) and the flag in one number
-                spans.append((f << 22) | ((e - f) << 1) | t)
+                keys += [digest(raw[lo:hi]) for lo, hi in zip(f.tolist(), (e + (length - 1)).tolist())]
+                places.append((f << 21) | (e - f))  # place (31 bits) and windows (up to TEXT_BLOCK: 21 bits) in one number
+                flags.append(t)
             if ids:
-                yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (heads, ids, spans)], names=["h", "doc_id", "span"])
-
-    marks = source.mapInArrow(mark, "h long, doc_id long, span long")
-    counts = marks.groupBy("h").agg(F.sum(F.col("span").bitwiseAND(1) + 1).alias("c"), F.sum(F.shiftright("span", 1).bitwiseAND((1 << 21) - 1) + (length - 1)).alias("n")).where("c > 1").select("h", "n")
-    wanted = marks.join(counts, "h").select("doc_id", F.struct("h", "span", (F.col("n") > hot).alias("hot")).alias("s"))
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list("s").alias("s"))
+                k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                cols = (np.concatenate(heads), np.ascontiguousarray(k[:, 0]), np.ascontiguousarray(k[:, 1]), np.concatenate(ids), np.concatenate(places).astype(np.int64), np.concatenate(flags))
+                yield pa.record_batch([pa.array(c) for c in cols], names=["h", "k1", "k2", "doc_id", "at", "twice"])
+
+    one, key = Window.partitionBy("h"), Window.partitionBy("h", "k1", "k2").orderBy("doc_id", "at")
+    size = F.col("at").bitwiseAND((1 << 21) - 1)
+    marks = source.mapInArrow(mark, "h long, k1 long, k2 long, doc_id long, at long, twice boolean")
+    marks = marks.repartition("h").sortWithinPartitions("h", "k1", "k2", "doc_id", "at")  # one shuffle and sort for all windows
+    marks = marks.withColumn("c", F.sum(F.col("twice").cast("int") + 1).over(one)).where("c > 1")
+    marks = marks.withColumn("first", F.rank().over(key) == 1)
+    several = (F.min("k1").over(one) != F.max("k1").over(one)) | (F.min("k2").over(one) != F.max("k2").over(one)) | F.max("twice").over(one)
+    distinct_bytes = F.sum(F.when(F.col("first"), size + (length - 1))).over(one)
+    marks = marks.withColumns({"several": several, "hot": distinct_bytes > hot}).where("several or not first")
+    marks = written(marks.select("doc_id", "at", "first", F.when(F.col("first"), F.col("h")).alias("h"), (F.col("first") & F.col("hot")).alias("hot"), "twice"), "marks")
+    copies = marks.where("not first").select("doc_id", F.shiftright("at", 21).cast("int").alias("lo"), (F.shiftright("at", 21) + size).cast("int").alias("hi"))
+    by_doc = marks.where("first").groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "hot", "twice")).alias("s"))
     placed = source.join(by_doc, "doc_id")
 
     def cut(batches):
@@ -234,16 +260,16 @@ def repeated_starts(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
             for doc_id, text, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "s"))):
                 raw = text.encode("utf-8", "surrogatepass")
                 for s in found:
-                    lo, n = s["span"] >> 22, (s["span"] >> 1) & ((1 << 21) - 1)
+                    lo, n = s["at"] >> 21, s["at"] & ((1 << 21) - 1)
                     piece = raw[lo : lo + n + length - 1]
                     if len(piece) >= length:  # else the row is another text of this doc_id
-                        rows.append((s["h"], doc_id, lo, piece, s["hot"], bool(s["span"] & 1)))
+                        rows.append((s["h"], doc_id, lo, piece, s["hot"], s["twice"]))
             cols = list(zip(*rows)) if rows else [[]] * 6
             for at in range(0, max(1, len(rows)), 5000):
                 yield pa.record_batch([pa.array(c[at : at + 5000], t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()))], names=["h", "doc_id", "lo", "piece", "hot", "twice"])
 
     pieces = written(placed.mapInArrow(cut, PIECES), "segments")
-    found = _met(pieces.where("not hot"), length, gram)
+    found = copies.unionByName(_met(pieces.where("not hot"), length, gram))
     crowded = pieces.where("hot").drop("hot")
     if not crowded.isEmpty():
         found = found.unionByName(_crowded(crowded, length, gram, hot))
@@ -298,7 +324,8 @@ def _met(pieces: DataFrame, length: int, gram: int) -> DataFrame:
                 docs_.append(doc_id)
                 starts.append(lo)
                 size += len(piece)
-            yield give()
+            if out:
+                yield give()
         solve()
         yield give()
 
@@ -326,6 +353,7 @@ def _crowded(pieces: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
 
     small_batches(pieces.sparkSession, 200)
     cut = written(judged.where("is_first").select("doc_id", "lo", "piece").mapInArrow(recut, PIECES), "longer")
+    small_batches(pieces.sparkSession)
     counts = cut.groupBy("h").agg(F.count("*").alias("c"), F.max("twice").alias("again"), F.sum(F.length("piece")).alias("n")).where("c > 1 or again").select("h", (F.col("n") > hot).alias("still"))
     cut = written(cut.join(counts, "h"), "longer-met")
     found = copies.unionByName(_met(cut.where("not still"), length, longer))

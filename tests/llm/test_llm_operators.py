@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from datetime import datetime, timedelta
 from fractions import Fraction
@@ -223,6 +224,41 @@ def test_suffix_dedup(docs, texts, hot, monkeypatch):
     assert got[None].n_removed == 0
 
 
+def test_copies_are_not_moved_as_bytes(spark, monkeypatch):
+    """Of texts that occur several times no segment is cut out: one distinct segment needs no order.  A text that repeats in itself is."""
+    r = random.Random(23)
+    fresh = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    same, half = fresh(3000), fresh(1500)
+    texts = {1: same, 2: fresh(2000), 3: same, 4: "", 5: same + fresh(150), 6: half + "|" + half}
+    tables, written = {}, suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    rows = [*texts.items(), (1, same)]
+    got = by_id(suffix_dedup.dedup_suffixes(spark.createDataFrame(rows, "doc_id long, text string")).dropDuplicates(["doc_id"]))
+    assert [got[i].n_removed for i in sorted(texts)] == [0, 0, 3000, 0, 3000, 1500]
+    pieces = [x.doc_id for x in tables["segments"].collect()]
+    assert set(pieces) == {1, 5, 6} and pieces.count(1) <= 4 and pieces.count(5) <= 4  # where 5's own text joins on
+    assert got[6].n_spans == 1 and bytes(got[6].kept).decode() == half + "|"
+
+
+def test_shuffle_files_of_written_tables_go_at_once(spark):
+    from pyspark.sql import functions as F
+
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in map(held.apply, range(held.size())))
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held, set_before = manager.getAllFiles(), spark.conf.get(key)
+    before = files()
+    df = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    table = suffix_dedup.written(df, "seven")
+    for _ in range(50):
+        held = manager.getAllFiles()
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(key) == set_before
+    assert sum(x["count"] for x in table.collect()) == 1000
+
+
 def test_longest_previous_factors():
     r = random.Random(2)
     for trial in range(20):
