@@ -39,7 +39,7 @@ GRAM = 32
 HOT_BYTES = 16 << 20  # of distinct segments of one minimizer
 SORT_BYTES = 4 << 20
 TEXT_BLOCK = 1 << 20  # bytes looked at at once
-TASK_BYTES = 1 << 20  # segment bytes sorted at once
+TASK_BYTES = 1 << 17  # segment bytes sorted at once, as fit a core's cache; a minimizer's segments always stay together
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: list[np.ndarray] = []
@@ -54,11 +54,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     """Mixed rolling hash of every string of `gram` bytes."""
     power, inverse = _powers(len(raw))
-    prefix = np.concatenate(([np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power)))
-    h = (prefix[gram:] - prefix[:-gram]) * inverse[: len(raw) - gram + 1]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    prefix = np.zeros(len(raw) + 1, np.uint64)
+    inner = prefix[1:]
+    np.add(raw, np.uint64(1), out=inner)
+    inner *= power
+    np.cumsum(inner, out=inner)
+    h = prefix[gram:] - prefix[:-gram]
+    h *= inverse[: len(h)]
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def segments(raw: bytes, length: int = LENGTH, gram: int = GRAM):
@@ -76,9 +83,10 @@ def segments(raw: bytes, length: int = LENGTH, gram: int = GRAM):
             span += step
         cut = np.flatnonzero(least[1:n] != least[: n - 1]) + 1
         first = np.concatenate(([0], cut))
-        ordered = np.sort(h)
         heads.append(least[first])
-        twice.append(np.isin(heads[-1], ordered[1:][ordered[1:] == ordered[:-1]]))
+        ordered = np.sort(h[h <= heads[-1].max()])  # minimizers are small: a few of all hashes
+        again = ordered[1:][ordered[1:] == ordered[:-1]]
+        twice.append(np.isin(heads[-1], again) if len(again) else np.zeros(len(first), bool))
         firsts.append(first + at)
         ends.append(np.concatenate((cut, [n])) + at)
     if not heads:

@@ -259,6 +259,34 @@ def test_shuffle_files_of_written_tables_go_at_once(spark):
     assert sum(x["count"] for x in table.collect()) == 1000
 
 
+def test_hot_minimizers_leave_batches_as_they_were(spark, monkeypatch):
+    """One minimizer in every text, beyond `hot`: its path works in small batches, what comes after doesn't."""
+    r = random.Random(5)
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    common = some("abcdefgh", 40)
+    rows = [(i, some("ijklmnop", 60) + common + some("ijklmnop", 60)) for i in range(300)]
+    rows.append((500, "z" + rows[7][1]))
+    names, written = [], suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "written", lambda df, name: names.append(name) or written(df, name))
+    found = suffix_dedup.repeated_starts(spark.createDataFrame(rows, "doc_id long, text string"), hot=2000)
+    assert "hot" in names and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    assert sorted({(x.doc_id, i) for x in found.collect() for i in range(x.lo, x.hi)}) == [(500, i) for i in range(1, 62)]
+
+
+def test_minimizer_flags_follow_all_hashes():
+    """A segment's flag says whether its minimizer occurs twice in the text, wherever it does."""
+    r = random.Random(31)
+    for n in (100, 131, 700, 4000):
+        raw = bytes(r.choice(b"ab") for _ in range(n // 2)) * 2 + b"c" * (n % 7)
+        if len(raw) < 100:
+            continue
+        hashes = suffix_dedup._gram_hashes(np.frombuffer(raw, np.uint8), 32).view(np.int64).tolist()
+        least = [min(np.array(hashes[i : i + 69], np.int64).view(np.uint64).tolist()) for i in range(len(raw) - 99)]
+        head, first, end, twice = (x.tolist() for x in suffix_dedup.segments(raw))
+        assert [h for h, a, b in zip(head, first, end) for _ in range(a, b)] == np.array(least, np.uint64).view(np.int64).tolist()
+        assert twice == [hashes.count(h) > 1 for h in head]
+
+
 def test_longest_previous_factors():
     r = random.Random(2)
     for trial in range(20):
