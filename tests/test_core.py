@@ -288,3 +288,40 @@ def test_cells_without_candidates_are_left_open(spark):
     assert {x.resolution_mode for x in kept} == {"deterministic_only"} and len(kept) == 2
     none = triggers._without_candidates(d, rerank.CELL).first()
     assert none.row_id == 2 and not none.should_run and none.reason_codes == ["no_candidates"]
+
+
+def test_written_tables_of_many_rows_are_not_broadcast(spark):
+    """A compressed file tells little of its rows: 30,000 equal rows of a few KB on disk were collected in the driver."""
+    from entweave.scratch import written
+
+    rows = lambda n: spark.range(n).select((F.col("id") % 7).alias("k"), F.lit("x" * 50).alias("v"))
+    many, few = written(rows(30_000), "many"), written(rows(10), "few")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(many.join(many.select("k", F.upper("v").alias("w")), "k"))
+    assert "Broadcast" in plan(many.select("k").distinct().select(F.lit(1).alias("k")).union(few.select("k")).join(few, "k"))
+
+
+def test_numbered_names_meet_few_of_their_like(spark):
+    """Trigrams of numbered names are common; longer substrings find the same pairs, and far fewer are compared."""
+    names = spark.range(3000).select(F.format_string("customer#%09d", "id").alias("name")).unionByName(spark.createDataFrame([("lake",), ("blue lake",)], "name string"))
+    asked = spark.createDataFrame([("Customer#000000123",), ("0000001%23",), ("00002999",), ("LAKE",), ("ke",), ("0012",)], "mention string")
+    pairs = lookup.matching_names(asked, names)
+    found = {}
+    for r in pairs.collect():
+        found.setdefault(r["mention"], set()).add(r["name"])
+    number = lambda i: f"customer#{i:09d}"
+    import re
+
+    every = [number(i) for i in range(3000)]
+    assert found == {"Customer#000000123": {number(123)}, "0000001%23": {x for x in every if re.search("0000001.*23", x)}, "00002999": {number(2999)}, "LAKE": {"lake", "blue lake"}, "ke": {"lake", "blue lake"}, "0012": {x for x in every if "0012" in x}}
+    longest = lookup.matching_names(spark.createDataFrame([(number(i),) for i in range(0, 3000, 3)], "mention string"), names)
+    assert longest.count() == 1000 and "substring(name" in longest._jdf.queryExecution().optimizedPlan().toString() and ", 12)" in longest._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_requests_in_stages_without_hits_of_later_ones(spark):
+    asked = spark.createDataFrame([("t", 1, 0, 1, "a"), ("t", 1, 0, 2, "b"), ("t", 1, 0, 3, "a2"), ("t", 2, 0, 1, "z"), ("t", 2, 0, 2, "a")], "table_id string, row_id long, col_id int, stage_no int, mention_id string")
+    best = spark.createDataFrame([("a", "Q1", 1.0), ("b", "Q1", 3.0), ("b", "Q2", 2.0), ("a2", "Q9", 9.0)], "mention_id string, qid string, es_score double")
+    plain = rerank.staged(asked.join(best, "mention_id").drop("mention_id"), enough=2)
+    got = rerank.staged_requests(asked, best, enough=2)
+    rows = lambda df: sorted((r["row_id"], r["qid"], r["es_score"], tuple(r["stages"])) for r in df.collect())
+    assert rows(got) == rows(plain) == [(1, "Q1", 3.0, (1, 2)), (1, "Q2", 2.0, (2,)), (2, "Q1", 1.0, (2,))]
