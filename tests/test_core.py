@@ -325,3 +325,12 @@ def test_requests_in_stages_without_hits_of_later_ones(spark):
     got = rerank.staged_requests(asked, best, enough=2)
     rows = lambda df: sorted((r["row_id"], r["qid"], r["es_score"], tuple(r["stages"])) for r in df.collect())
     assert rows(got) == rows(plain) == [(1, "Q1", 3.0, (1, 2)), (1, "Q2", 2.0, (2,)), (2, "Q1", 1.0, (2,))]
+
+
+def test_linking_takes_every_table(spark):
+    from entweave.plans import table_queries as Q
+
+    cells = Q.cells_of(spark, "/root/testdata/sf0.001")
+    n = {r["table_id"]: r["count"] for r in cells.groupBy("table_id").count().collect()}
+    source = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").count()
+    assert n == {"customer": source("customer"), "supplier": source("supplier"), "part": source("part"), "nation": source("nation"), "people": source("supplier"), "lakes": source("nation")}
