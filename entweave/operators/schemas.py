@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..functions import text as X
+from .typing import let
 
 _ITEM = "struct<value:string,type:string,role:string,text:string,confidence:string,probability:string,weight:string,source:string>"
 
 
 def _list(json: Column, path: str) -> Column:
     """The elements at a path as JSON text: a list's, or the single one; null counts as none."""
-    raw = F.get_json_object(json, path)
-    many = F.from_json(raw, "array<string>")
-    return F.when(raw.isNull(), F.array().cast("array<string>")).when(raw.startswith("["), F.coalesce(many, F.array().cast("array<string>"))).otherwise(F.array(raw))
+    none = F.array().cast("array<string>")
+    elements = lambda raw: F.when(raw.isNull(), none).when(raw.startswith("["), F.coalesce(F.from_json(raw, "array<string>"), none)).otherwise(F.array(raw))
+    return let(F.get_json_object(json, path), elements)
 
 
 def _parsed(x: Column) -> Column:
@@ -47,8 +48,9 @@ def fine_type(c: Column) -> Column:
 
 
 def _first_of_each(items: Column, key: str) -> Column:
-    keys = F.transform(items, lambda x: x[key])
-    return F.filter(items, lambda x, i: F.array_position(keys, x[key]) == i + 1)
+    # bound: as plain columns both would be made again for every item
+    first = lambda xs, keys: F.filter(xs, lambda x, i: F.array_position(keys, x[key]) == i + 1)
+    return let(items, lambda xs: let(F.transform(xs, lambda x: x[key]), lambda keys: first(xs, keys)))
 
 
 def signals(json: Column, path: str, *, confidence: float = 0.7, weight: float | None = None, normal=None) -> Column:
@@ -77,7 +79,7 @@ def hard_filter(json: Column, fields: list[str], normal=None) -> Column:
     for field in fields:
         s = F.filter(signals(json, f"$.retrieval_plan.hard_filters.{field}", confidence=1.0, weight=1.0), lambda x: x["confidence"] >= 0.8)
         values = F.array_distinct(F.filter(F.transform(s, lambda x: normal(x["value"]) if normal else F.trim(x["value"])), lambda v: v != ""))
-        out = F.when(F.size(values) > 0, values).otherwise(out)
+        out = let(values, lambda v, before=out: F.when(F.size(v) > 0, v).otherwise(before))
     return out
 
 

@@ -334,3 +334,31 @@ def test_linking_takes_every_table(spark):
     n = {r["table_id"]: r["count"] for r in cells.groupBy("table_id").count().collect()}
     source = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").count()
     assert n == {"customer": source("customer"), "supplier": source("supplier"), "part": source("part"), "nation": source("nation"), "people": source("supplier"), "lakes": source("nation")}
+
+
+def test_estimate_without_a_sample_is_a_count(spark, tmp_path):
+    from entweave.sources import subset
+
+    # the first records are the short ones: their mean size says nothing of the rest
+    text = spark.range(60, numPartitions=1).select(F.when(F.col("id") < 10, "{}").otherwise(F.lit("x" * 90)).alias("value"))
+    text.write.text(str(tmp_path / "dump"))
+    count = lambda **k: subset.estimated_records(spark, str(tmp_path / "dump"), **k)
+    assert count(sample=10) > 1000 and count(sample=None) == count() == 60
+
+
+def test_parts_of_any_number_keep_their_italian_alias(spark, monkeypatch):
+    from entweave.plans import ingest_queries as Q
+
+    line = '{"id":"%s","labels":{"en":{"value":"a"},"it":{"value":"a (it)"}},"descriptions":{"en":{"value":"%s"}},"aliases":{"en":[{"value":"b"},{"value":"b"}],"it":[{"value":"a"}]}}'
+    lines = spark.createDataFrame([(line % x,) for x in (("Q5000001", "product"), ("Q6000000", "product"), ("Q3000000", "company"))], "value string")
+    monkeypatch.setattr(Q, "raw", lambda s, d: dump.parse(lines))
+    assert {(r["qid"], r["n_en"], r["has_it"]) for r in Q.t3_alias_map(spark, "").collect()} == {("Q5000001", 1, True), ("Q6000000", 1, True), ("Q3000000", 1, False)}
+
+
+def test_lists_of_outside_schemas_are_parsed_once(spark):
+    from entweave.operators import schemas
+
+    j = F.lit('{"a":[{"value":"x"},"x","y"]}')
+    assert [s.value for s in one(spark, schemas.signals(j, "$.a"))] == ["x", "y"]
+    plan = spark.range(1).select(schemas.signals(F.col("id").cast("string"), "$.a").alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("get_json_object") == 1  # 8 before
