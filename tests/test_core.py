@@ -351,7 +351,7 @@ def test_parts_of_any_number_keep_their_italian_alias(spark, monkeypatch):
 
     line = '{"id":"%s","labels":{"en":{"value":"a"},"it":{"value":"a (it)"}},"descriptions":{"en":{"value":"%s"}},"aliases":{"en":[{"value":"b"},{"value":"b"}],"it":[{"value":"a"}]}}'
     lines = spark.createDataFrame([(line % x,) for x in (("Q5000001", "product"), ("Q6000000", "product"), ("Q3000000", "company"))], "value string")
-    monkeypatch.setattr(Q, "raw", lambda s, d: dump.parse(lines))
+    monkeypatch.setattr(Q, "raw", lambda s, d, *fields: dump.parse(lines))
     assert {(r["qid"], r["n_en"], r["has_it"]) for r in Q.t3_alias_map(spark, "").collect()} == {("Q5000001", 1, True), ("Q6000000", 1, True), ("Q3000000", 1, False)}
 
 
@@ -362,3 +362,18 @@ def test_lists_of_outside_schemas_are_parsed_once(spark):
     assert [s.value for s in one(spark, schemas.signals(j, "$.a"))] == ["x", "y"]
     plan = spark.range(1).select(schemas.signals(F.col("id").cast("string"), "$.a").alias("s"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("get_json_object") == 1  # 8 before
+
+
+def test_dump_lines_are_parsed_once(spark):
+    """One JSON parse a line, of the wanted fields; broken lines still end the job, odd ones are told from them."""
+    rows = ['{"id":"Q1","labels":{"en":{"value":"a"}},"claims":{"P1":[{"rank":"normal"}]}},', '{"id":"Q2","labels":[]}', '[1]', '5,', '"x"', "[", "]", " ", '{"id":7}', '{"id":"L1"}', '{"id":"P9","labels":{"en":{"value":5}}},\r']
+    raw = dump.parse(spark.createDataFrame([(r,) for r in rows], "value string"), fields=["labels"])
+    assert raw.columns == ["id", "labels"]
+    got = {r["id"]: r["labels"] for r in raw.collect()}
+    assert set(got) == {"Q1", "Q2", "P9"} and got["Q1"]["en"]["value"] == "a" and not got["Q2"]
+    plan = raw._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "claims" not in plan  # 2 and all fields before
+    for bad in ("{broken", '{"id":"Q1"', "broken", '{"id":"Q1","claims":{"P1":[}}'):
+        with pytest.raises(Exception, match="no JSON"):
+            dump.parse(spark.createDataFrame([(bad,)], "value string"), fields=["labels"]).count()
+        assert dump.parse(spark.createDataFrame([(bad,)], "value string"), strict=False).where("id <> 'Q1'").count() == 0
