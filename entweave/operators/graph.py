@@ -43,11 +43,11 @@ def score_edges(edges: DataFrame, subjects: DataFrame) -> DataFrame:
     return e.select(*EDGE, edge_score(F.col("predicate_pid"), F.col("object_qid"), F.col("rank"), profiles).alias("score"), rank_no.alias("rank_no"))
 
 
-def best_edges(scored: DataFrame) -> DataFrame:
+def best_edges(scored: DataFrame, *, by_subject: bool = False) -> DataFrame:
     """One row per edge: the best score, then the better rank.  Rows move once, by subject, which serves the aggregation here
-    and the windows of ordered_edges."""
+    and the windows of ordered_edges; with by_subject they lie so already."""
     best = F.max(F.struct("score", (-F.col("rank_no")).alias("r")))
-    return scored.repartition("subject_qid").groupBy(*EDGE).agg(best.alias("b")).select(*EDGE, F.col("b.score").alias("score"), (-F.col("b.r")).alias("rank_no"))
+    return (scored if by_subject else scored.repartition("subject_qid")).groupBy(*EDGE).agg(best.alias("b")).select(*EDGE, F.col("b.score").alias("score"), (-F.col("b.r")).alias("rank_no"))
 
 
 def ordered_edges(best: DataFrame) -> DataFrame:
@@ -76,9 +76,10 @@ def neighbours(ids: DataFrame, triples: DataFrame) -> DataFrame:
     return ids.select("qid").distinct().join(out.unionByName(into), "qid", "left")
 
 
-def object_labels(triples: DataFrame, labels: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
-    """subject_qid, object_qid, label: resolved by labels(qid, label), else by the fallback."""
-    t = triples.select("subject_qid", "object_qid").distinct()
+def object_labels(triples: DataFrame, labels: DataFrame, fallback: DataFrame | None = None, *, distinct: bool = False) -> DataFrame:
+    """subject_qid, object_qid, label: resolved by labels(qid, label), else by the fallback.  distinct: the pairs are so already."""
+    t = triples.select("subject_qid", "object_qid")
+    t = t if distinct else t.distinct()
     t = t.join(labels.select(F.col("qid").alias("object_qid"), "label"), "object_qid", "left")
     if fallback is not None:
         t = t.join(fallback.select(F.col("qid").alias("object_qid"), F.col("label").alias("other")), "object_qid", "left")
@@ -86,11 +87,16 @@ def object_labels(triples: DataFrame, labels: DataFrame, fallback: DataFrame | N
     return t
 
 
-def context_strings(triples: DataFrame, labels: DataFrame, *, max_chars: int = 512, fallback: DataFrame | None = None, sep: str = "; ") -> DataFrame:
+def context_strings(triples: DataFrame, labels: DataFrame, *, max_chars: int = 512, fallback: DataFrame | None = None, sep: str = "; ", tasks: int | None = None) -> DataFrame:
     """qid, context_string: the labels of a subject's objects, in the order of the object ids.
 
-    A subject has at most MAX_EDGES objects in a pruned graph, which bounds the gathered list."""
-    t = object_labels(triples, labels, fallback).withColumn("label", normalize(F.col("label"))).where(F.coalesce(F.length("label"), F.lit(0)) > 0)
+    A subject has at most MAX_EDGES objects in a pruned graph, which bounds the gathered list.  tasks: into how many parts rows
+    are dealt, where the session's number would make them too large."""
+    if tasks is not None:
+        triples = triples.select("subject_qid", "object_qid").distinct().repartition(tasks, "object_qid")
+    t = object_labels(triples, labels, fallback, distinct=tasks is not None)
+    t = t if tasks is None else t.repartition(tasks, "subject_qid")
+    t = t.withColumn("label", normalize(F.col("label"))).where(F.coalesce(F.length("label"), F.lit(0)) > 0)
     lists = t.groupBy("subject_qid").agg(F.array_sort(F.collect_list(F.struct("object_qid", "label"))).alias("l"))
     return lists.select(F.col("subject_qid").alias("qid"), bounded_join(F.col("l.label"), max_chars, sep).alias("context_string"))
 

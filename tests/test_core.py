@@ -377,3 +377,18 @@ def test_dump_lines_are_parsed_once(spark):
         with pytest.raises(Exception, match="no JSON"):
             dump.parse(spark.createDataFrame([(bad,)], "value string"), fields=["labels"]).count()
         assert dump.parse(spark.createDataFrame([(bad,)], "value string"), strict=False).where("id <> 'Q1'").count() == 0
+
+
+def test_graph_is_cut_by_its_rows(spark, monkeypatch):
+    """A task sorts so many edges at most, whatever the session's number of partitions; rows move once."""
+    from entweave.plans import fixtures as fx
+    from entweave.plans import ingest_queries as Q
+
+    sf, n = "/root/testdata/sf0.001", spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    monkeypatch.setattr(fx, "EDGES_A_TASK", n // 20)
+    assert fx.edge_tasks(spark, sf) >= 40
+    plan = Q.g5_predicate_order(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "REPARTITION_BY_COL" not in plan
+    cut = sorted(map(tuple, Q.sc11_j2_context_strings(spark, sf).collect()))
+    e = fx.entities(spark, sf)
+    assert cut == sorted(map(tuple, graph.context_strings(fx.triples(spark, sf), e.select("qid", "label")).collect()))
