@@ -392,3 +392,16 @@ def test_graph_is_cut_by_its_rows(spark, monkeypatch):
     cut = sorted(map(tuple, Q.sc11_j2_context_strings(spark, sf).collect()))
     e = fx.entities(spark, sf)
     assert cut == sorted(map(tuple, graph.context_strings(fx.triples(spark, sf), e.select("qid", "label")).collect()))
+
+
+def test_candidates_of_the_rules_move_once_as_numbers(spark):
+    from entweave.operators import triggers
+    from entweave.plans import decision_queries as Q
+
+    c = Q.candidates(spark, "/root/testdata/sf0.001")
+    assert c._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert Q.ranked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # 2 before
+    plain = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(*[F.expr(Q._column(x)).alias(x) for x in Q.CANDIDATE]).distinct()
+    assert c.exceptAll(plain).isEmpty() and plain.exceptAll(c).isEmpty()
+    r = Q.with_tokens(Q.ranked(spark, "/root/testdata/sf0.001"))
+    assert "qid" not in triggers._tops(r, Q.KEYS, 5, triggers._OF_SEMANTIC).schema["c"].dataType.elementType.names
